@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lines, packing
+from . import decontaminate, langid, lines, ordermin, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": langid.op1,
+    "op2_order_minhash": ordermin.op2,
     "op3_line_dedup": lines.op3,
     "op8_decontamination": decontaminate.op8,
     "op10_best_fit_packing": packing.op10,
