@@ -198,6 +198,15 @@ def dedup_lines(docs: DataFrame, count: str | None = None) -> DataFrame:
     return without_lines(docs, repeats(line_refs(docs)), count)
 
 
+def keep_lines(docs: DataFrame) -> DataFrame:
+    """docs, all columns, with each line only where it first occurs; n_chars, if there, follows the text. Documents that lose all they had go."""
+    gone = C.fresh(docs, "n_gone")
+    out = dedup_lines(docs, gone)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.where((F.col(gone) == 0) | (F.trim("text") != "")).drop(gone)
+
+
 class LineStore:
     """The counts of all lines inserted and not deleted: a DataFrame (h1, h2, refs), in tables in the shared folder.
 

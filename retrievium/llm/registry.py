@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitsliced, chat, decontaminate, langid, lines, ordermin, packing
+from . import bitsliced, chat, decontaminate, langid, lines, ordermin, packing, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": langid.op1,
     "op2_order_minhash": ordermin.op2,
     "op3_line_dedup": lines.op3,
     "op4_chat_format": chat.op4,
+    "op5_html_extraction": wrappers.op5,
     "op6_bitsliced_topk": bitsliced.op6,
     "op8_decontamination": decontaminate.op8,
     "op10_best_fit_packing": packing.op10,
