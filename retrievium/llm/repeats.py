@@ -2,11 +2,12 @@
 
 Shards must hold all places of a repeated passage. They are cut by content: of the K-grams of any window of LEAST tokens
 the first one of least hash is its anchor, so equal windows have equal anchors, wherever they are. The text around an
-anchor that could hold such a window is a piece. Pieces go to the shard of their anchor; equal pieces are one there,
-with the least and greatest of their documents. Anchors that only one document has are dropped before any text moves.
-Each shard is sorted by external induced sorting (see suffixes); in its suffix array, runs whose common prefixes reach LEAST
-tokens are equal windows, and those of at least two documents are marked. Marks go back to all places of a piece and
-are merged by document. So the result is that of one suffix array over the whole corpus.
+anchor that could hold such a window is a piece. Places of anchors are shuffled once, by anchor, as a few numbers each. A piece that two
+documents share is repeated as a whole; a piece of one document, whose anchor other documents have too, must be searched, and
+with it one copy of each other piece of that anchor. Only the searched pieces' tokens move, to shards of SHARD symbols, as many as it takes.
+A shard is sorted by external induced sorting (see suffixes). The anchor, which all its pieces hold, is one symbol there, and the tokens around it are symbols of
+12 bits, so windows that share a run of the suffix array are compared again by 32 bits a token. Windows of at least two documents are
+marked, and a document's marks merged. So the result is that of one suffix array over the whole corpus.
 
 Cases: null, empty and short texts (under LEAST tokens) have no window; a document's repeats of its own passages don't count;
 rows that repeat a (doc_id, text) are one document; rows of equal text and different ids repeat each other as a whole; a null doc_id
@@ -24,7 +25,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -32,12 +33,13 @@ from .suffixes import SMALL, Space, suffix_array
 
 LEAST, K = 50, 25
 MEMORY = 1 << 26  # bytes of an array that a shard keeps in memory; larger ones are in files
-PLACES = "d long, doc_id long, row long, pos int, lo int, hi int, anchor long, piece long"
+SHARD = 1 << 19
+PLACES = "d long, doc_id long, row long, pos int, n_left int, n_right int, anchor long, piece long"
 SPANS = "doc_id long, span_start long, span_end long"
 
 
-def anchors(h: np.ndarray, width: int) -> np.ndarray:
-    """Positions in h that are the first least value of some `width` values in a row; ascending."""
+def anchors(h: np.ndarray, width: int, valid: np.ndarray | None = None) -> np.ndarray:
+    """Positions in h that are the first least value of some `width` values in a row, of those that begin where valid; ascending."""
     n = len(h) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
@@ -48,7 +50,8 @@ def anchors(h: np.ndarray, width: int) -> np.ndarray:
         less = value[right] < value[left]
         value, at = np.where(less, value[right], value[left]), np.where(less, at[right], at[left])
         size += step
-    return np.unique(at[:n])
+    at = at[:n] if valid is None else at[:n][valid]
+    return np.unique(at)
 
 
 def _document(p: pd.DataFrame) -> np.ndarray:
@@ -58,83 +61,95 @@ def _document(p: pd.DataFrame) -> np.ndarray:
 
 
 def _places(ids: DataFrame, least: int, k: int) -> DataFrame:
-    """An anchor's place in a document: its piece is tokens lo..hi, of hash `piece`."""
+    """The places of anchors: token pos of a document, n_left tokens before the anchor and n_right after it in its piece, of hash `piece`."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             doc_ids, rows, d = p["doc_id"].to_numpy(), p["row"].to_numpy(), _document(p)
             for at, texts in C.groups(p["text"]):
                 tok = C.tokenize(texts)
+                if len(tok.hashes) < least:
+                    continue
                 g = C.gram_hashes(tok.hashes, k)
+                pos = anchors(g, least - k + 1, C.inside(tok, least))
+                doc = tok.doc[pos]
+                lo, hi = np.maximum(tok.first[doc], pos - (least - k)), np.minimum(tok.first[doc + 1], pos + least)
                 pw, inv = C.powers(len(tok.hashes) + 1)
                 total = np.zeros(len(tok.hashes) + 1, np.uint64)
                 np.cumsum(tok.hashes * pw[: len(tok.hashes)], out=total[1:])
-                for i in np.flatnonzero(np.diff(tok.first) >= least).tolist():
-                    a, b = int(tok.first[i]), int(tok.first[i + 1])
-                    pos = a + anchors(g[a : b - k + 1], least - k + 1)
-                    lo, hi = np.maximum(a, pos - (least - k)), np.minimum(b, pos + least)
-                    piece = C.mix((total[hi] - total[lo]) * inv[lo] + (pos - lo).astype(np.uint64))
-                    n = len(pos)
-                    yield pd.DataFrame({"d": np.full(n, d[at + i]), "doc_id": np.full(n, doc_ids[at + i]), "row": np.full(n, rows[at + i]), "pos": pos - a, "lo": lo - a, "hi": hi - a, "anchor": g[pos].view(np.int64), "piece": piece.view(np.int64)})
-
-    def joined(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
-        for p in run(parts):
-            held.append(p)
-            size += len(p)
-            if size > 100_000:
-                yield pd.concat(held, ignore_index=True)
-                held, size = [], 0
-        if held:
-            yield pd.concat(held, ignore_index=True)
-
-    return ids.mapInPandas(joined, PLACES)
-
-
-def _tokens_of(ids: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (doc_id, row, anchor, piece, lo, hi, ...) with tok, the piece's token hashes."""
-    names = ("anchor", "piece", "lo", "hi", "d1", "d2")
+                piece = C.mix((total[hi] - total[lo]) * inv[lo] + (pos - lo).astype(np.uint64))
+                yield pd.DataFrame({"d": d[at + doc], "doc_id": doc_ids[at + doc], "row": rows[at + doc], "pos": (pos - tok.first[doc]).astype(np.int32), "n_left": (pos - lo).astype(np.int32), "n_right": (hi - pos - k).astype(np.int32), "anchor": g[pos].view(np.int64), "piece": piece.view(np.int64)})
+
+    return ids.mapInPandas(run, PLACES)
+
+
+def _tokens_of(ids: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """wanted with tok: 32-bit hashes of the tokens before and after the anchor."""
+    names = ("anchor", "pos", "n_left", "n_right", "d", "open")
     per = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct(*names)).alias("w"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            for text, *own in zip(p["text"], *(p[c] for c in names)):
-                h = C.tokenize([text]).hashes
-                w = pd.DataFrame(dict(zip(names, own)))
-                w["tok"] = [h[a:b].tobytes() for a, b in zip(w["lo"].tolist(), w["hi"].tolist())]
-                yield w[["anchor", "piece", "d1", "d2", "tok"]]
+            for at, texts in C.groups(p["text"]):
+                tok = C.tokenize(texts)
+                h = (tok.hashes >> np.uint64(32)).astype(np.uint32)
+                own = {c: p[c].iloc[at : at + len(texts)] for c in names}
+                doc = np.repeat(np.arange(len(texts)), [len(x) for x in own["pos"]])
+                w = {c: np.concatenate(own[c].to_list()) for c in names}
+                a = tok.first[doc] + w["pos"]
+                w["tok"] = [h[x:y].tobytes() + h[y + k : z].tobytes() for x, y, z in zip((a - w["n_left"]).tolist(), a.tolist(), (a + k + w["n_right"]).tolist())]
+                w |= {"doc_id": p["doc_id"].to_numpy()[at + doc], "row": p["row"].to_numpy()[at + doc]}
+                yield pd.DataFrame(w)[["anchor", "pos", "n_left", "d", "open", "doc_id", "row", "tok"]]
 
     columns = [F.col(f"w.{c}").alias(c) for c in names]
-    return ids.join(per, ["doc_id", "row"]).select("text", *columns).mapInPandas(run, "anchor long, piece long, d1 long, d2 long, tok binary")
+    joined = ids.join(per, ["doc_id", "row"]).select("doc_id", "row", "text", *columns)
+    return joined.mapInPandas(run, "anchor long, pos int, n_left int, d long, open boolean, doc_id long, row long, tok binary")
 
 
-def _marks(pieces: pd.DataFrame, least: int, space: Space, small: int = SMALL) -> pd.DataFrame:
-    """anchor, piece, starts: windows (offsets in the piece) that pieces of at least two documents hold."""
-    toks = [np.frombuffer(t, np.uint64) for t in pieces["tok"]]
-    size = np.array([len(t) for t in toks])
-    seen, ids = np.unique(np.concatenate(toks), return_inverse=True)
+def _marks(pieces: pd.DataFrame, least: int, k: int, space: Space, small: int = SMALL) -> pd.DataFrame:
+    """doc_id, row, s: windows (first token and end, packed) of open pieces that pieces of at least two documents hold."""
+    width = least - k + 1  # of a window, the anchor being one symbol
+    none = pd.DataFrame({"doc_id": [], "row": [], "s": []})
+    n_left, d = pieces["n_left"].to_numpy(), pieces["d"].to_numpy()
+    size = np.array([len(t) // 4 for t in pieces["tok"]]) + 1
     first = np.append(0, np.cumsum(size + 1))
-    text = np.zeros(int(first[-1]), np.int64)  # 0 ends a piece
-    inside = np.ones(len(text), bool)
-    inside[first[1:] - 1] = False
-    text[inside] = ids + 1
-    sa, lcp = suffix_array(text, len(seen) + 1, space, small)
+    n = int(first[-1])
+    mid = first[:-1] + n_left
+    plain = np.ones(n, bool)
+    plain[mid] = plain[first[1:] - 1] = False
+    full = np.zeros(n, np.uint64)
+    full[plain] = np.frombuffer(b"".join(pieces["tok"]), np.uint32)
+    text = np.zeros(n, np.int64)  # 0 ends a piece
+    text[plain] = (full[plain] >> np.uint64(20)).astype(np.int64) % 4093 + 2
+    text[mid] = 1
+    full[mid] = C.mix(pieces["anchor"].to_numpy().view(np.uint64))
+    window = C.gram_hashes(C.mix(full), width)
+    sa, lcp = suffix_array(text, 4096, space, small)
     owner = np.repeat(np.arange(len(size)), size + 1)
-    rest = first[owner + 1] - 1 - np.arange(len(text))
-    run = np.cumsum(np.asarray(lcp) < least) - 1
-    ok = rest[sa] >= least
-    at, run = np.asarray(sa)[ok], run[ok]
+    run = np.cumsum(np.asarray(lcp) < width)
+    sa = np.asarray(sa)
+    ok = first[owner[sa] + 1] - 1 - sa >= width
+    at, run = sa[ok], run[ok]
     if not len(at):
-        return pd.DataFrame({"anchor": [], "piece": [], "starts": []})
-    begin = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
-    d1, d2 = pieces["d1"].to_numpy()[owner[at]], pieces["d2"].to_numpy()[owner[at]]
-    many = np.minimum.reduceat(d1, begin) != np.maximum.reduceat(d2, begin)
-    hit = np.sort(at[np.repeat(many, np.diff(np.append(begin, len(at))))])
-    whose = owner[hit]
-    b = np.flatnonzero(np.append(True, whose[1:] != whose[:-1])) if len(hit) else np.zeros(0, np.int64)
-    who = whose[b]
-    starts = np.split((hit - first[whose]).astype(np.int32), b[1:]) if len(hit) else []
-    return pd.DataFrame({"anchor": pieces["anchor"].to_numpy()[who], "piece": pieces["piece"].to_numpy()[who], "starts": starts})
+        return none
+    w = window[at]
+    new = np.append(True, (run[1:] != run[:-1]) | (w[1:] != w[:-1]))
+    if (np.append(0, np.diff(run)) == 0)[new].sum() > 1:  # a run of more than one kind of window: bring equal ones together
+        order = np.lexsort((w, run))
+        at, run, w = at[order], run[order], w[order]
+        new = np.append(True, (run[1:] != run[:-1]) | (w[1:] != w[:-1]))
+    begin = np.flatnonzero(new)
+    who = owner[at]
+    many = np.minimum.reduceat(d[who], begin) != np.maximum.reduceat(d[who], begin)
+    hit = at[np.repeat(many, np.diff(np.append(begin, len(at)))) & pieces["open"].to_numpy()[who]]
+    if not len(hit):
+        return none
+    hit.sort()
+    who = owner[hit]
+    start = pieces["pos"].to_numpy(np.int64)[who] - n_left[who] + hit - first[who]
+    b = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (np.diff(hit) > least)))  # windows of a piece that touch are one span
+    e = np.append(b[1:], len(hit)) - 1
+    return pd.DataFrame({"doc_id": pieces["doc_id"].to_numpy()[who[b]], "row": pieces["row"].to_numpy()[who[b]], "s": start[b] * (1 << 32) + start[e] + least})
 
 
 def _scratch(spark: SparkSession) -> str | None:
@@ -143,43 +158,38 @@ def _scratch(spark: SparkSession) -> str | None:
     return at.path if at.scheme in ("", "file") else None
 
 
-def repeated_spans(docs: DataFrame, least: int = LEAST, k: int = K, memory: int = MEMORY, small: int = SMALL) -> DataFrame:
+def repeated_spans(docs: DataFrame, least: int = LEAST, k: int = K, shard: int = SHARD, memory: int = MEMORY, small: int = SMALL) -> DataFrame:
     """doc_id, span_start, span_end (exclusive) in tokens."""
     spark = docs.sparkSession
     C.ship(spark)
     ids = docs.select(C.id_key().alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("text"))
-    places = C.written(_places(ids, least, k))
-    kinds = places.groupBy("anchor", "piece").agg(F.min("d").alias("d1"), F.max("d").alias("d2"), F.min(F.struct("doc_id", "row", "lo", "hi")).alias("x"))
-    # anchors of two documents at least, with the number of their pieces, and whether a piece of one document is among them
-    known = kinds.groupBy("anchor").agg(F.min("d1").alias("e1"), F.max("d2").alias("e2"), F.count("*").alias("n"), F.max(F.col("d1") == F.col("d2")).alias("single")).where("e1 <> e2")
-    kinds = C.written(kinds.join(known, "anchor").select("anchor", "piece", "d1", "d2", "x", (F.col("n") > 1).alias("several"), "single"))
-    search = kinds.where("several and single").select("anchor", "piece", "d1", "d2", "x.*")
-    pieces = _tokens_of(ids, search)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    of_piece, of_anchor = Window.partitionBy("anchor", "piece"), Window.partitionBy("anchor")
+    places = _places(ids, least, k).repartition(parts, "anchor")  # the one shuffle that both windows use
+    places = places.withColumn("single", F.min("d").over(of_piece) == F.max("d").over(of_piece)).withColumn("nth", F.row_number().over(of_piece.orderBy("d", "pos")))
+    places = places.withColumn("shared", F.min("d").over(of_anchor) != F.max("d").over(of_anchor)).withColumn("search", F.max("single").over(of_anchor))
+    live = C.written(places.where("shared").drop("shared", "piece"))
+    packed = F.col("pos").cast("long") * (1 << 32) - F.col("n_left").cast("long") * (1 << 32) + F.col("pos") + k + F.col("n_right")
+    whole = live.where(f"not single and n_left + n_right >= {least - k}").select("doc_id", "row", packed.alias("s"))
+    search = live.where("search and (single or nth = 1)").withColumnRenamed("single", "open")
+    n = -(-search.count() * (2 * (least - k) + 2) // shard) or 1
     folder = _scratch(spark)
 
-    def shard(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sort(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = list(parts)
-        own = pd.concat(own, ignore_index=True).drop_duplicates(["anchor", "piece"], ignore_index=True) if own else pd.DataFrame()
+        own = pd.concat(own, ignore_index=True) if own else pd.DataFrame()
         if not len(own):
             return
         at = os.path.join(folder, f"suffixes-{uuid.uuid4().hex}") if folder else None
         if at:
             os.makedirs(at)
         try:
-            yield _marks(own, least, Space(at, memory), small)
+            yield _marks(own, least, k, Space(at, memory), small)
         finally:
             if at:
                 shutil.rmtree(at, ignore_errors=True)
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marks = C.written(pieces.repartition(n, "anchor").mapInPandas(shard, "anchor long, piece long, starts array<int>"))
-    # a piece that two documents share is repeated as a whole; of any other, the marked windows are
-    whole = kinds.where("d1 <> d2").select("anchor", "piece", F.lit(None).cast("array<int>").alias("starts"))
-    part = marks.join(kinds.where("d1 = d2").select("anchor", "piece"), ["anchor", "piece"])
-    found = places.join(whole.unionByName(part), ["anchor", "piece"])
-    packed = lambda lo, hi: lo.cast("long") * (1 << 32) + hi
-    own = F.when(F.col("starts").isNull(), F.array(packed(F.col("lo"), F.col("hi")))).otherwise(F.transform("starts", lambda s: packed(F.col("lo") + s, F.col("lo") + s + least)))
-    hits = found.where((F.col("hi") - F.col("lo")) >= least).select("doc_id", "row", own.alias("s"))
+    found = _tokens_of(ids, search, k).repartition(n, "anchor").mapInPandas(sort, "doc_id long, row long, s long")
 
     def merge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -188,11 +198,11 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, k: int = K, memory: int
                 x = np.sort(np.asarray(s, np.int64))
                 lo, top = x >> 32, np.maximum.accumulate(x & 0xFFFFFFFF)
                 new = np.flatnonzero(np.append(True, lo[1:] > top[:-1]))
-                out.append(pd.DataFrame({"doc_id": d, "span_start": lo[new], "span_end": top[np.append(new[1:], len(x)) - 1]}))
+                out.append((np.full(len(new), d), lo[new], top[np.append(new[1:], len(x)) - 1]))
             if out:
-                yield pd.concat(out, ignore_index=True)
+                yield pd.DataFrame({c: np.concatenate([o[j] for o in out]) for j, c in enumerate(("doc_id", "span_start", "span_end"))})
 
-    spans = hits.groupBy("doc_id", "row").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("s"))
+    spans = whole.unionByName(found).groupBy("doc_id", "row").agg(F.collect_set("s").alias("s"))
     return spans.mapInPandas(merge, SPANS).withColumn("doc_id", C.id_back("doc_id"))
 
 
