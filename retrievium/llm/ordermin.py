@@ -84,68 +84,59 @@ def sketches(tok: C.Tokens, k: int = K, n_sketches: int = SKETCHES) -> np.ndarra
     return out
 
 
-def distance(pairs: list[tuple[np.ndarray, np.ndarray]], threshold: float = THRESHOLD) -> np.ndarray:
-    """Edit distance of each pair, or -1 where it is beyond the threshold. Pairs are aligned side by side in bands."""
-    limit = np.array([int((1 - threshold) * max(len(a), len(b)) + 1e-9) for a, b in pairs], np.int64)
-    out = np.full(len(pairs), -1, np.int64)
-    todo = [i for i, (a, b) in enumerate(pairs) if abs(len(a) - len(b)) <= limit[i]]
-    band = 8
-    while todo:
-        todo.sort(key=lambda i: len(pairs[i][0]))
-        at, later = 0, []
-        while at < len(todo):
-            own = []
-            while at < len(todo) and (not own or (len(own) + 1) * (2 * band + 1) <= 1 << 14 and len(pairs[todo[at]][0]) <= 1.25 * len(pairs[own[0]][0]) + 8):
-                own.append(todo[at])
-                at += 1
-            d = _band([pairs[i] for i in own], band)
-            for i, x in zip(own, d.tolist()):
-                if x <= band:
-                    out[i] = x if x <= limit[i] else -1
-                elif band < limit[i]:
-                    later.append(i)
-        todo, band = later, band * 2
-    return out
-
-
-def _band(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarray:
-    """Edit distances by dynamic programming on |i - j| <= band; exact where at most band, else anything above it."""
-    n, width = len(pairs), 2 * band + 1
-    la, lb = np.array([len(a) for a, _ in pairs]), np.array([len(b) for _, b in pairs])
-    rows = int(la.max(initial=0))
-    a = np.zeros((rows, n), np.int64)
-    b = np.full((n, max(int(lb.max(initial=0)), rows) + width + 1), -1, np.int64)  # b[:, band + j] is token j
-    for i, (x, y) in enumerate(pairs):
-        a[: len(x), i] = x
-        b[i, band : band + len(y)] = y
-    big = np.int32(1 << 28)
-    cols = np.arange(width, dtype=np.int32)
-    cur = np.broadcast_to(np.where(cols >= band, cols - band, big), (n, width)).astype(np.int32)  # row 0: j = col - band
-    res = np.full(n, big, np.int64)
-    pick = lb - la + band  # column of the last cell
-    fits = (pick >= 0) & (pick < width)
-
-    def collect(i: int, cur: np.ndarray) -> None:
-        at = np.flatnonzero((la == i) & fits)
-        res[at] = cur[at, pick[at]]
-
-    collect(0, cur)
-    shifted = np.full((n, width), big, np.int32)
-    for i in range(1, rows + 1):
-        same = b[:, i - 1 : i - 1 + width] == a[i - 1][:, None]  # column c is j = i + c - band, token j - 1
-        new = cur + (~same).astype(np.int32)
-        shifted[:, :-1] = cur[:, 1:] + 1
-        np.minimum(new, shifted, out=new)
-        if i <= band:
-            new[:, : band - i] = big
-            new[:, band - i] = i
-        new -= cols
-        np.minimum.accumulate(new, axis=1, out=new)
-        new += cols
-        np.minimum(new, big, out=new)
-        cur = new
-        collect(i, cur)
-    return res
+def distance(x: np.ndarray, y: np.ndarray, limit: int) -> int:
+    """Edit distance of two token sequences, or -1 where it is beyond limit. What they share at both ends is left out first."""
+    n = min(len(x), len(y))
+    if max(len(x), len(y)) - n > limit:
+        return -1
+    differ = np.flatnonzero(x[:n] != y[:n])
+    if not len(differ):
+        return max(len(x), len(y)) - n
+    head = int(differ[0])
+    x, y = x[head:], y[head:]
+    n -= head
+    differ = np.flatnonzero(x[len(x) - n :][::-1] != y[len(y) - n :][::-1])
+    tail = int(differ[0]) if len(differ) else n
+    x, y = x[: len(x) - tail].tolist(), y[: len(y) - tail].tolist()
+    if not x or not y:
+        return max(len(x), len(y))
+    band = 24
+    while True:
+        k = min(band, limit)
+        if abs(len(x) - len(y)) <= k and (d := _band(x, y, k)) <= k:
+            return d
+        if k == limit:
+            return -1
+        band *= 4
+
+
+def _band(x: list[int], y: list[int], k: int) -> int:
+    """Edit distance by bit-parallel dynamic programming on the band |i - j| <= k; exact where at most k, else above it.
+
+    Column j is two integers of 2 k + 1 bits, the places where the distance rises or falls from one row of the band to
+    the next; the band moves down a row with each column. What is kept besides is the distance in the band's last row.
+    """
+    where: dict[int, int] = {}
+    bit = 1 << (k + 1)  # row i is at bit i + k, so that the band never begins below bit 0
+    for t in x:
+        where[t] = where.get(t, 0) | bit
+        bit <<= 1
+    width = 2 * k + 1
+    mask, last = (1 << width) - 1, 1 << (width - 1)
+    up, down, d = mask >> k << k, 0, k
+    get = where.get
+    for j, t in enumerate(y, 1):
+        same = get(t, 0) >> j & mask  # rows j - k to j + k
+        diagonal = (((same & up) + up) ^ up) | same | down
+        over = down | ~(diagonal | up)
+        under = diagonal & up
+        if not diagonal & last:
+            d += 1
+        diagonal = (diagonal & mask) >> 1
+        up = (under | ~(diagonal | over)) & mask
+        down = diagonal & over & mask
+    rows = ((1 << (2 * k)) - 1) >> (len(x) - len(y) + k) << (len(x) - len(y) + k)  # below the last row of x
+    return d - (up & rows).bit_count() + (down & rows).bit_count()
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
@@ -204,8 +195,9 @@ def _verified(pairs: DataFrame, tokens: DataFrame, threshold: float) -> DataFram
         if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": []})
         x = np.frombuffer(left["mine"].iloc[0], np.int32)
-        d = distance([(x, np.frombuffer(t, np.int32)) for t in right["other"]], threshold)
-        own = right.loc[d >= 0, ["b"]]
+        others = [np.frombuffer(t, np.int32) for t in right["other"]]
+        near = np.array([distance(x, y, int((1 - threshold) * max(len(x), len(y)) + 1e-9)) >= 0 for y in others])
+        own = right.loc[near, ["b"]]
         own.insert(0, "a", key[0])
         return own
 
@@ -242,14 +234,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = sig.groupBy("node").agg(F.min(F.struct("doc_id", "row", "n", "keys", "hist")).alias("x")).select("node", "x.*")
     bucketed = nodes.select("node", F.explode("keys").alias("key"))
     many = Window.partitionBy("key")
-    buckets = C.cut(bucketed.distinct().withColumn("size", F.count("*").over(many)).where("size > 1").drop("size"))
+    buckets = C.cut(bucketed.withColumn("size", F.count("*").over(many)).where("size > 1").drop("size"))
     members = C.cut(nodes.join(buckets.select("node").distinct(), "node").select("node", "doc_id", "row", "n", "hist"))
     tokens = C.written(_tokens(docs, members.select("node", "doc_id", "row")))
     stats = lambda side, n, h: members.select(F.col("node").alias(side), F.col("n").alias(n), F.col("hist").alias(h))
     possible = lambda pairs: _possible(pairs.join(stats("a", "na", "ha"), "a").join(stats("b", "nb", "hb"), "b"), threshold)
 
-    linked: DataFrame | None = None
-    label = buckets.select("node", F.col("node").alias("label")).distinct()
+    label = members.select("node", F.col("node").alias("label"))
     active = buckets
     for turn in range(LEADER_ROUNDS + 1):
         own = active.join(label, "node")
@@ -261,10 +252,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             one = own.groupBy("key", "label").agg(F.min("node").alias("node"))
             two = one.alias("p").join(one.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.node") < F.col("q.node")))
             pairs = C.cut(possible(two.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()))
-        new = C.cut(_verified(pairs, tokens, threshold))
-        linked = new if linked is None else linked.union(new)
-        comp = C.cut(components(linked))
-        label = buckets.select("node").distinct().join(comp, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+        new = _verified(pairs, tokens, threshold)
+        # only components that the new pairs connect are joined: each turn's graph is made of what is still apart
+        if turn:
+            of = lambda side: label.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+            new = new.join(of("a"), "a").join(of("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
+        joined = components(new).select(F.col("node").alias("old"), F.col("label").alias("merged"))
+        label = C.cut(label.join(joined, F.col("label") == F.col("old"), "left").select("node", F.coalesce("merged", "label").alias("label")))
         if turn < LEADER_ROUNDS:
             # the leader has been compared with all; it and what is linked to it step back
             own = active.join(label, "node").withColumn("lead", F.min(F.struct("node", "label")).over(many))
@@ -272,7 +266,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             active = C.cut(left)
             if active.isEmpty():
                 break
-    docs_of = sig.select("doc_id", "row", "node").join(comp.withColumnRenamed("label", "g"), "node", "left").select("doc_id", "row", F.coalesce("g", "node").alias("g"))
+    docs_of = sig.select("doc_id", "row", "node").join(label.withColumnRenamed("label", "g"), "node", "left").select("doc_id", "row", F.coalesce("g", "node").alias("g"))
     group = docs_of.groupBy("g").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n_docs")).where("n_docs > 1")
     return docs_of.join(group, "g").select(C.id_back("doc_id").alias("doc_id"), C.id_back("group_id").alias("group_id"), F.col("n_docs").cast("long").alias("n_docs"))
 
