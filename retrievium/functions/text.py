@@ -15,6 +15,11 @@ def as_col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(x: Column, f) -> Column:
+    """f of x, with x evaluated once however often f uses it; f's own lambdas would else evaluate it for each element."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def falsy_coalesce(*cs: str | Column) -> Column:
     """The first that is neither null nor empty, else ''."""
     return F.coalesce(*[F.nullif(as_col(c), F.lit("")) for c in cs], F.lit(""))
@@ -59,13 +64,21 @@ def n_words(c: str | Column) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Distinct n-grams, in order of first occurrence; none if there are fewer than n tokens."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
-    return F.when(F.size(tokens) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+
+    def own(t: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))
+        return F.when(F.size(t) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, own)
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two sets as arrays; 0 where either is empty."""
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
+
+    def own(x: Column) -> Column:
+        return F.when((F.size(x["a"]) > 0) & (F.size(x["b"]) > 0), F.size(F.array_intersect(x["a"], x["b"])) / F.size(F.array_union(x["a"], x["b"]))).otherwise(0.0)
+
+    return let(F.struct(a.alias("a"), b.alias("b")), own)
 
 
 def lexical_overlap(a: str | Column, b: str | Column) -> Column:
@@ -82,10 +95,12 @@ def is_concept(token: Column, stop: list[str]) -> Column:
 
 def concepts(c: str | Column, n: int = 10, stop: list[str] = CONCEPT_STOP) -> Column:
     """The n commonest concept tokens of a short text, of equal ones those that come first. For long texts, see operators.concepts."""
-    toks = F.filter(word_tokens(c), lambda t: is_concept(t, stop))
-    own = F.array_distinct(toks)
-    ranked = F.array_sort(F.transform(own, lambda w, i: F.struct((-F.size(F.filter(toks, lambda t: t == w))).alias("c"), i.alias("i"), w.alias("w"))))
-    return F.transform(F.slice(ranked, 1, n), lambda x: x["w"])
+
+    def own(toks: Column) -> Column:
+        ranked = F.transform(F.array_distinct(toks), lambda w, i: F.struct((-F.size(F.filter(toks, lambda t: t == w))).alias("c"), i.alias("i"), w.alias("w")))
+        return F.transform(F.slice(F.array_sort(ranked), 1, n), lambda x: x["w"])
+
+    return let(F.filter(word_tokens(c), lambda t: is_concept(t, stop)), own)
 
 
 def key_terms(c: str | Column, n: int = 3) -> Column:
