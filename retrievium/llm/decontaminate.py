@@ -32,7 +32,8 @@ def _grams(items: DataFrame, n: int) -> DataFrame:
                 low = [C.fold(C.code_points(t)) for t in texts]
                 at = np.flatnonzero(C.inside(tok, n))
                 h = C.gram_hashes(tok.hashes, n)[at].view(np.int64)
-                yield pd.DataFrame({"gram": h, "words": [_words(low[tok.doc[i]], tok, i, n) for i in at]})
+                if len(at):
+                    yield pd.DataFrame({"gram": h, "words": pd.Series([_words(low[tok.doc[i]], tok, i, n) for i in at], dtype=object)})
 
     return items.select(F.col("text").cast("string")).mapInPandas(run, "gram long, words string").distinct()
 
