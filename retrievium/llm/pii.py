@@ -98,7 +98,7 @@ TAILS = ("", "", "", "", "", "", ".", ",", "!", ";", ":", "?", ")", "###", "!!",
 PLAIN = "the of und der la de que en ing her menteur les ción thation, erly. Dass. Nous".split()
 
 
-def examples(snippets: list[str], n: int, seed: int, length: int = WINDOW) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def examples(snippets: list[str], n: int, seed: int, most: int = WINDOW) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """n windows with their labelled spans (start, end, kind)."""
     rng = np.random.default_rng(seed)
     words = [s.split() for s in snippets if s.split()] or [PLAIN]
@@ -106,6 +106,7 @@ def examples(snippets: list[str], n: int, seed: int, length: int = WINDOW) -> li
     for _ in range(n):
         own = words[int(rng.integers(len(words)))]
         at, text, spans = int(rng.integers(len(own))), "", []
+        length = most if rng.random() < 0.75 else int(rng.integers(12, most))  # short texts end in nothing
         upper, near = rng.random() < 0.12, False
         while len(text) < length:
             u = rng.random()
@@ -130,8 +131,6 @@ def examples(snippets: list[str], n: int, seed: int, length: int = WINDOW) -> li
                     w = "".join((w, *(own[(at + j) % len(own)] for j in range(int(rng.integers(0, 4)))))).upper() + str(rng.choice(["!!", "!!", "", ".", ","]))
                 text += w + " "
         text = text[:length]
-        if rng.random() < 0.1 and not any(e > length // 2 for _, e, _ in spans):
-            text = text[: length // 2]
         out.append((text, [s for s in spans if s[1] <= len(text)]))
     return out
 
