@@ -31,6 +31,8 @@ from .components import components
 K, ELLS, SKETCHES, THRESHOLD = 3, 2, 16, 0.8
 HIST = 128
 LEADER_ROUNDS = 2
+TILE = 4096
+BROADCAST_NODES = 1_000_000
 
 
 def sketches(tok: C.Tokens, k: int = K, n_sketches: int = SKETCHES) -> np.ndarray:
@@ -140,30 +142,21 @@ def _band(x: list[int], y: list[int], k: int) -> int:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, row, node (128 bits of the token sequence), n (tokens), keys (sketches), hist (token histogram); texts with tokens only."""
+    """doc_id, row, node (128 bits of the token sequence), keys (sketches); texts with tokens only."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             for at, texts in C.groups(p["text"]):
                 tok = C.tokenize(texts)
-                n = np.diff(tok.first)
-                has = np.flatnonzero(n)
+                has = np.flatnonzero(np.diff(tok.first))
+                if not len(has):
+                    continue
                 keys = sketches(tok)[has].view(np.int64)
-                hist = np.bincount(tok.doc * HIST + (tok.hashes >> np.uint64(57)).astype(np.int64), minlength=HIST * len(texts)).reshape(-1, HIST)
-                hist = np.minimum(hist, 65535).astype(np.uint16)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": p["doc_id"].to_numpy()[at + has],
-                        "row": p["row"].to_numpy()[at + has],
-                        "node": [_node(tok.hashes[tok.first[d] : tok.first[d + 1]]) for d in has.tolist()],
-                        "n": n[has],
-                        "keys": list(keys),
-                        "hist": [hist[d].tobytes() for d in has.tolist()],
-                    }
-                )
+                nodes = [_node(tok.hashes[tok.first[d] : tok.first[d + 1]]) for d in has.tolist()]
+                yield pd.DataFrame({"doc_id": p["doc_id"].to_numpy()[at + has], "row": p["row"].to_numpy()[at + has], "node": nodes, "keys": list(keys)})
 
     own = docs.select(C.id_key().alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("text"))
-    return own.mapInPandas(run, "doc_id long, row long, node binary, n long, keys array<long>, hist binary")
+    return own.mapInPandas(run, "doc_id long, row long, node binary, keys array<long>")
 
 
 def _node(h: np.ndarray) -> bytes:
@@ -188,6 +181,38 @@ def _possible(pairs: DataFrame, threshold: float) -> DataFrame:
     return near.mapInPandas(run, "a binary, b binary")
 
 
+def _within(own: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) with one key in own (key, node, n, hist) that lengths and histograms don't rule out.
+
+    They are compared where a key's members meet, so that only what is left moves on; a key of more than TILE members is cut in
+    tiles, each of which two parts of its members meet in.
+    """
+
+    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["n", "node"], ignore_index=True)
+        n, part, inner = p["n"].to_numpy(), p["part"].to_numpy(), key[1] == key[2]
+        h = np.frombuffer(b"".join(p["hist"]), np.uint16).reshape(-1, HIST).astype(np.int32)
+        upto = np.searchsorted(n, n / (1 - threshold) + 1e-6, "right")  # longer ones are too far by their length alone
+        left, right = [], []
+        for i in range(len(n)):
+            j = np.arange(i + 1, upto[i])
+            if not inner:
+                j = j[part[j] != part[i]]
+            if len(j):
+                d = h[j] - h[i]
+                far = np.maximum(d.clip(0).sum(1), (-d).clip(0).sum(1)) > (1 - threshold) * n[j] + 1e-9
+                j = j[~far | (n[j] > 65535)]
+                left += [i] * len(j)
+                right += j.tolist()
+        x, y = p["node"].to_numpy()[left], p["node"].to_numpy()[right]
+        less = np.array([a < b for a, b in zip(x, y)], bool)
+        return pd.DataFrame({"a": np.where(less, x, y), "b": np.where(less, y, x)}, dtype=object)
+
+    parts = own.withColumn("parts", F.ceil(F.count("*").over(Window.partitionBy("key")) / TILE)).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    tiles = parts.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("key", F.least("part", "t").alias("x"), F.greatest("part", "t").alias("y"), "part", "node", "n", "hist")
+    return tiles.groupBy("key", "x", "y").applyInPandas(run, "a binary, b binary").distinct()
+
+
 def _verified(pairs: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) that are near-duplicates. Each a's tokens are moved once, each b's once a pair."""
 
@@ -210,34 +235,41 @@ def _verified(pairs: DataFrame, tokens: DataFrame, threshold: float) -> DataFram
     return left.groupBy("x", "slot").cogroup(right.groupBy("a_of", "slot_of")).applyInPandas(run, "a binary, b binary")
 
 
-def _tokens(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, tok (int32 token hashes) for nodes (node, doc_id, row), which name one row of docs each."""
+def _tokens(docs: DataFrame, nodes: DataFrame, broadcast_nodes: int) -> DataFrame:
+    """node, n (tokens), hist (token histogram), tok (int32 token hashes) for nodes (node, doc_id, row), which name one text of docs each.
 
-    @F.pandas_udf("binary")
-    def tok(text: pd.Series) -> pd.Series:
-        out = []
-        for _, texts in C.groups(text):
-            t = C.tokenize(texts)
-            h = (t.hashes >> np.uint64(32)).astype(np.uint32)
-            out += [h[t.first[d] : t.first[d + 1]].tobytes() for d in range(len(texts))]
-        return pd.Series(out, dtype=object)
+    Up to broadcast_nodes nodes (about 100 bytes each) go to where the texts are; more of them are joined by a shuffle.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for at, texts in C.groups(p["text"]):
+                t = C.tokenize(texts)
+                h = (t.hashes >> np.uint64(32)).astype(np.uint32)
+                hist = np.bincount(t.doc * HIST + (t.hashes >> np.uint64(57)).astype(np.int64), minlength=HIST * len(texts)).reshape(-1, HIST)
+                hist = np.minimum(hist, 65535).astype(np.uint16)
+                each = range(len(texts))
+                yield pd.DataFrame({"node": p["node"].iloc[at : at + len(texts)].to_numpy(), "n": np.diff(t.first), "hist": [hist[d].tobytes() for d in each], "tok": [h[t.first[d] : t.first[d + 1]].tobytes() for d in each]})
 
     own = docs.select(C.id_key().alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("text"))
-    return own.join(nodes, ["doc_id", "row"]).dropDuplicates(["node"]).select("node", tok("text").alias("tok"))
+    few = nodes.count() <= broadcast_nodes
+    joined = own.join(F.broadcast(nodes) if few else nodes, ["doc_id", "row"]).select("node", "text")
+    return joined.mapInPandas(run, "node binary, n long, hist binary, tok binary").dropDuplicates(["node"])
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
     """doc_id, group_id (least doc_id of its group), n_docs; only documents in a group of at least two rows."""
     spark = docs.sparkSession
     C.ship(spark)
     sig = C.written(_signatures(docs))
-    nodes = sig.groupBy("node").agg(F.min(F.struct("doc_id", "row", "n", "keys", "hist")).alias("x")).select("node", "x.*")
-    bucketed = nodes.select("node", F.explode("keys").alias("key"))
     many = Window.partitionBy("key")
-    buckets = C.cut(bucketed.withColumn("size", F.count("*").over(many)).where("size > 1").drop("size"))
-    members = C.cut(nodes.join(buckets.select("node").distinct(), "node").select("node", "doc_id", "row", "n", "hist"))
-    tokens = C.written(_tokens(docs, members.select("node", "doc_id", "row")))
-    stats = lambda side, n, h: members.select(F.col("node").alias(side), F.col("n").alias(n), F.col("hist").alias(h))
+    # copies are in a bucket more than once here; what counts is whether it has two nodes
+    shared = sig.select("node", F.explode("keys").alias("key")).withColumn("two", F.min("node").over(many) != F.max("node").over(many)).where("two")
+    buckets = C.cut(shared.select("node", "key").distinct())
+    least = sig.join(buckets.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min_by("row", F.struct("doc_id", "row")).alias("row"))
+    members = C.cut(least)
+    tokens = C.written(_tokens(docs, members, broadcast_nodes))
+    stats = lambda side, n, h: tokens.select(F.col("node").alias(side), F.col("n").alias(n), F.col("hist").alias(h))
     possible = lambda pairs: _possible(pairs.join(stats("a", "na", "ha"), "a").join(stats("b", "nb", "hb"), "b"), threshold)
 
     label = members.select("node", F.col("node").alias("label"))
@@ -250,8 +282,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             pairs = C.cut(possible(pairs.select("a", "b", "shared").drop("shared")))
         else:
             one = own.groupBy("key", "label").agg(F.min("node").alias("node"))
-            two = one.alias("p").join(one.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.node") < F.col("q.node")))
-            pairs = C.cut(possible(two.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()))
+            pairs = C.cut(_within(one.select("key", "node").join(tokens.select("node", "n", "hist"), "node"), threshold))
         new = _verified(pairs, tokens, threshold)
         # only components that the new pairs connect are joined: each turn's graph is made of what is still apart
         if turn:
