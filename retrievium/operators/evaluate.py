@@ -50,7 +50,7 @@ def long_form(per_query: DataFrame, *keys: str) -> DataFrame:
 def report(per_query: DataFrame) -> DataFrame:
     """metric, mean, median, stdev (of the population), total_queries."""
     v = F.col("value")
-    return long_form(per_query).groupBy("metric").agg(F.round(F.avg(v), 6).alias("mean"), F.round(F.percentile(v, F.lit(0.5)), 6).alias("median"), F.round(F.stddev_pop(v), 6).alias("stdev"), F.count("*").alias("total_queries"))
+    return long_form(per_query).groupBy("metric").agg(F.round(F.avg(v), 6).alias("mean"), F.round(F.percentile(v, F.lit(0.5)), 9).alias("median"), F.round(F.stddev_pop(v), 6).alias("stdev"), F.count("*").alias("total_queries"))
 
 
 def report_by_model(per_query: DataFrame, key: str = "model") -> DataFrame:

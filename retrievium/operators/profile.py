@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def stats(v: Column, *, percentiles: bool = False) -> list[Column]:
     out = [F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")]
     if percentiles:
-        out += [F.round(F.percentile(v, F.lit(q)), 6).alias(f"p{int(100 * q)}") for q in (0.25, 0.5, 0.75)]
+        out += [F.round(F.percentile(v, F.lit(q)), 9).alias(f"p{int(100 * q)}") for q in (0.25, 0.5, 0.75)]
     return out
 
 

@@ -69,7 +69,7 @@ f{tag} AS (SELECT query_id, round(sum(rel / log2(rank + 1)) / (SELECT sum(1 / lo
 
 def report(tag: str = "") -> str:
     return f"""l{tag} AS (UNPIVOT f{tag} ON ndcg, mrr, precision, recall, map INTO NAME metric VALUE value),
-t{tag} AS (SELECT metric, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(stddev_pop(value), 6) AS stdev, {b("count(*)")} AS total_queries FROM l{tag} GROUP BY metric)"""
+t{tag} AS (SELECT metric, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 9) AS median, round(stddev_pop(value), 6) AS stdev, {b("count(*)")} AS total_queries FROM l{tag} GROUP BY metric)"""
 
 
 def texts(alias: str, key: str) -> str:
@@ -151,7 +151,7 @@ dm AS (SELECT doc_id, any_value(type) AS type, count(*) AS num_queries, round(av
 
 
 def stats(v: str, pct: bool = False) -> str:
-    more = "".join(f", round(quantile_cont({v}, {q}), 6) AS p{int(100 * q)}" for q in (0.25, 0.5, 0.75)) if pct else ""
+    more = "".join(f", round(quantile_cont({v}, {q}), 9) AS p{int(100 * q)}" for q in (0.25, 0.5, 0.75)) if pct else ""
     return f"round(avg({v}), 6) AS mean, round(stddev_pop({v}), 6) AS std, min({v}) AS min, max({v}) AS max{more}"
 
 
