@@ -6,8 +6,8 @@ a repeated group, wherever else it occurs, and what two streams don't share beco
 A slot whose text is the same on all pages of the host is part of the template and is left out; the others are the page's
 fields. Slots that hold long texts on the average over the host (CONTENT_SHARE of the longest such average) make up `text`.
 
-Only distinct streams are aligned, so the work for a host follows the variety of its layouts; pages are read twice, narrowly, and
-never gathered by host.
+Only distinct streams are aligned, so the work for a host follows the variety of its layouts. Pages are parsed three times, where they are:
+for the layouts, for what varies in each slot, and for the result; texts are neither gathered by host nor kept in between.
 
 Cases: a null or empty page has no fields and text ''; a page without a usable URL belongs to host ''; the texts of a host with a single page all
 stay, as nothing shows them to be template; broken markup is read leniently: a stray `<` is text; scripts, styles and comments are
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 CONTENT_SHARE = 0.25
+BROADCAST_ROWS = 200_000  # layouts or hosts, some 500 bytes each, that are sent to the pages; more are joined by a shuffle
 TEXT = "#"
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)?)/?>|[^<]+|<", re.S | re.I)
 _CLASS = re.compile(r"""\sclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -61,7 +62,16 @@ class _Part:
         self.key, self.body, self.runs = key, body, runs
 
 
-def _fold(streams: list[str], weights: list[int]) -> tuple[list[str], dict[str, str], list[list]]:
+def _turned(body: str, signs: dict[str, str]) -> str:
+    """The rotation of a repeated body that is an element: from an opening tag to its closing one, if there is such a rotation; else from an opening tag."""
+    opening = [i for i, x in enumerate(body) if (s := signs.get(x, TEXT)) != TEXT and not s.startswith("/")]
+    for i in opening:
+        if signs.get(body[i - 1], TEXT) == "/" + signs[body[i]].split(".")[0]:
+            return body[i:] + body[:i]
+    return body[opening[0] :] + body[: opening[0]] if opening else body
+
+
+def _fold(streams: list[str], weights: list[int], signs: dict[str, str]) -> tuple[list[str], dict[str, str], list[list]]:
     """Replace repeated runs by group letters, the commonest first, until none is left. Each letter stands for one or more of its body."""
     bodies: dict[str, str] = {}
     now = list(streams)
@@ -69,7 +79,7 @@ def _fold(streams: list[str], weights: list[int]) -> tuple[list[str], dict[str,
     while True:
         votes: Counter[str] = Counter()
         for s, w in zip(now, weights):
-            for b in {m[1] for m in tandem.finditer(s)}:
+            for b in {_turned(m[1], signs) for m in tandem.finditer(s)}:
                 votes[b] += w
         if not votes:
             return now, bodies, []
@@ -109,7 +119,7 @@ class Wrapper:
         self.letters = {s: chr(0x100 + k) for k, s in enumerate(sorted({s for x in streams for s in x} | {TEXT}))}
         self.signs = {v: k for k, v in self.letters.items()}
         text = ["".join(self.letters[s] for s in x) for x in streams]
-        folded, self.bodies, _ = _fold([text[i] for i in order], [weights[i] for i in order])
+        folded, self.bodies, _ = _fold([text[i] for i in order], [weights[i] for i in order], self.signs)
         self.items: list[str] = list(folded[0]) if folded else []
         self.optional = [False] * len(self.items)
         self.folded = dict(zip(order, folded))
@@ -204,20 +214,37 @@ def _host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url.cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def _own(pages: DataFrame) -> DataFrame:
+    return pages.select(C.id_key("page_id").alias("page_id"), _host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
+
+
+def _layouts(pages: DataFrame) -> DataFrame:
+    """host, signs (joined by SEP), n: the distinct streams, counted where the pages are first."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            seen = Counter((host, SEP.join(stream(h)[0])) for host, h in zip(p["host"], p["html"]))
+            yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["host", "signs", "n"])
+
+    return _own(pages).mapInPandas(run, "host string, signs string, n long").groupBy("host", "signs").agg(F.sum("n").alias("n"))
+
+
 def _streams(pages: DataFrame) -> DataFrame:
-    """page_id, host, signs (joined by SEP), sign_hash, texts."""
+    """page_id, host, sign_hash, texts."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            got = [stream(h) for h in p["html"]]
-            yield pd.DataFrame({"page_id": p["page_id"], "host": p["host"], "signs": [SEP.join(s) for s, _ in got], "texts": [t for _, t in got]})
+            for a in range(0, len(p), 250):  # a few at a time: texts as objects are large
+                own = p.iloc[a : a + 250]
+                got = [stream(h) for h in own["html"]]
+                yield pd.DataFrame({"page_id": own["page_id"], "host": own["host"], "signs": [SEP.join(s) for s, _ in got], "texts": [t for _, t in got]})
 
-    own = pages.select(C.id_key("page_id").alias("page_id"), _host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    return own.mapInPandas(run, "page_id long, host string, signs string, texts array<string>").withColumn("sign_hash", F.xxhash64("signs"))
+    out = _own(pages).mapInPandas(run, "page_id long, host string, signs string, texts array<string>")
+    return out.select("page_id", "host", F.xxhash64("signs").alias("sign_hash"), "texts")
 
 
-def wrappers(streams: DataFrame) -> DataFrame:
-    """host, signs, slots (of each text of the stream), wrapper; a row for each distinct stream of a host."""
+def wrappers(layouts: DataFrame) -> DataFrame:
+    """From host, signs, n: host, signs, slots (of each text of the stream), wrapper; a row for each distinct stream of a host."""
 
     def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("signs", ignore_index=True)
@@ -226,23 +253,28 @@ def wrappers(streams: DataFrame) -> DataFrame:
         shown = w.regex()
         return pd.DataFrame({"host": key[0], "signs": p["signs"], "slots": [w.slots(i, s) for i, s in enumerate(own)], "wrapper": shown})
 
-    distinct = streams.groupBy("host", "signs").agg(F.count("*").alias("n"))
-    return distinct.groupBy("host").applyInPandas(run, "host string, signs string, slots array<int>, wrapper string")
+    return layouts.groupBy("host").applyInPandas(run, "host string, signs string, slots array<int>, wrapper string")
+
+
+def _checked(df: DataFrame, most: int) -> DataFrame:
+    """df, cut, marked for broadcast if it has at most so many rows."""
+    df = C.cut(df)
+    return F.broadcast(df) if df.count() <= most else df
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """page_id, host, text (the content slots, a line each) and fields (slot, text) in page order, template texts left out."""
     C.ship(pages.sparkSession)
-    streams = C.written(_streams(pages))
-    slots = C.cut(wrappers(streams.select("host", "signs")).withColumn("sign_hash", F.xxhash64("signs")).select("host", "sign_hash", "slots"))
-    placed = streams.select("page_id", "host", "sign_hash", "texts").join(slots, ["host", "sign_hash"])
-    each = placed.select("page_id", "host", F.explode(F.arrays_zip("slots", "texts")).alias("x")).select("host", F.col("x.slots").alias("slot"), F.col("x.texts").alias("t"))
+    made = wrappers(_layouts(pages))
+    slots = _checked(made.select("host", F.xxhash64("signs").alias("sign_hash"), "slots"), broadcast_rows)
+    placed = _streams(pages).join(slots, ["host", "sign_hash"])
+    each = placed.select("host", F.explode(F.arrays_zip("slots", "texts")).alias("x")).select("host", F.col("x.slots").alias("slot"), F.col("x.texts").alias("t"))
     stats = each.groupBy("host", "slot").agg((F.min(F.xxhash64("t")) != F.max(F.xxhash64("t"))).alias("varies"), F.avg(F.length("t")).alias("mean"))
-    n_pages = streams.groupBy("host").agg((F.count("*") == 1).alias("single"))
+    n_pages = _own(pages).groupBy("host").agg((F.count("*") == 1).alias("single"))
     kept = stats.join(n_pages, "host").where("varies or single")
     kept = kept.groupBy("host").agg(F.collect_list(F.struct("slot", "mean")).alias("s"), F.max("mean").alias("top"))
     kept = kept.select("host", F.transform("s", lambda x: x["slot"]).alias("field_slots"), F.transform(F.filter("s", lambda x: x["mean"] >= F.col("top") * CONTENT_SHARE), lambda x: x["slot"]).alias("text_slots"))
-    both = placed.join(C.cut(kept), "host", "left")
+    both = placed.join(_checked(kept, broadcast_rows), "host", "left")
     fields = F.filter(F.arrays_zip(F.col("slots").alias("slot"), F.col("texts").alias("text")), lambda x: F.array_contains("field_slots", x["slot"]))
     both = both.withColumn("fields", F.coalesce(fields, F.array().cast("array<struct<slot:int,text:string>>")))
     text = F.array_join(F.transform(F.filter("fields", lambda x: F.array_contains("text_slots", x["slot"])), lambda x: x["text"]), "\n")
