@@ -110,7 +110,7 @@ def key_terms(c: str | Column, n: int = 3) -> Column:
 
 
 def sentences(c: str | Column) -> Column:
-    return F.split(F.trim(as_col(c)), r"(?<=[.!?])\s+")
+    return F.split(F.trim(as_col(c)), r"(?<=[!.?])\s+")
 
 
 def first_sentences(c: str | Column, n: int = 1) -> Column:

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Edges of the quality histogram: very low, low, medium, high.
+QUALITY_EDGES = [x / 10 for x in (0, 3, 5, 7, 10)]
+
+
 def stats(v: Column, *, percentiles: bool = False) -> list[Column]:
     out = [F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")]
     if percentiles:

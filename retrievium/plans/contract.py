@@ -380,7 +380,7 @@ def quality_percentiles_by_type(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def quality_histogram(s: SparkSession, d: str) -> DataFrame:
-    return profile.histogram(_scores(s, d), "quality", [0, 0.3, 0.5, 0.7, 1.0], "type")
+    return profile.histogram(_scores(s, d), "quality", profile.QUALITY_EDGES, "type")
 
 
 @query
