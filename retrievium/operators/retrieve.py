@@ -96,8 +96,9 @@ def ranked(hits: DataFrame, k: int, *order: Column | str, by: str = "query_id")
 
 def postings(docs: DataFrame) -> DataFrame:
     """doc_id, token, tf, dl from docs (doc_id, body)."""
-    toks = T.ws_tokens("body")
-    return docs.select("doc_id", F.size(toks).cast("long").alias("dl"), F.explode(toks).alias("token")).groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf"))
+    # the length comes out of the generator with each token: a column beside it would be computed for each token anew
+    each = T.let(T.ws_tokens("body"), lambda t: F.transform(t, lambda w: F.struct(w.alias("token"), F.size(t).cast("long").alias("dl"))))
+    return docs.select("doc_id", F.explode(each).alias("x")).groupBy("doc_id", "x.dl", "x.token").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
