@@ -7,8 +7,9 @@ edit similarity. Texts that share a sketch are candidates. A candidate pair is a
 until the distance fits in it. Groups are the connected components of such pairs.
 
 Equal token sequences are one node from the start. In each bucket (nodes that share a sketch) all are compared with the
-least, its leader; nodes of other components elect the next leader, LEADER_ROUNDS times, and what is then still
-apart is compared pair by pair, so that no bucket size is cut off. Before tokens are moved, pairs whose lengths or
+least, its leader; nodes of other components elect the next leader, LEADER_ROUNDS times. Then all members of a bucket,
+linked ones included, are compared pair by pair where their components still differ, so that no bucket size is cut off and
+no candidate pair is left out but for those that components already join. Before tokens are moved, pairs whose lengths or
 token histograms already prove a distance beyond the threshold are dropped, which loses none.
 
 Cases: null, empty and signs-only texts have no tokens and are in no group; a text shorter than k tokens is one k-mer;
@@ -182,7 +183,7 @@ def _possible(pairs: DataFrame, threshold: float) -> DataFrame:
 
 
 def _within(own: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) with one key in own (key, node, n, hist) that lengths and histograms don't rule out.
+    """Pairs (a, b) with one key and different labels in own (key, node, label, n, hist) that lengths and histograms don't rule out.
 
     They are compared where a key's members meet, so that only what is left moves on; a key of more than TILE members is cut in
     tiles, each of which two parts of its members meet in.
@@ -191,11 +192,13 @@ def _within(own: DataFrame, threshold: float) -> DataFrame:
     def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["n", "node"], ignore_index=True)
         n, part, inner = p["n"].to_numpy(), p["part"].to_numpy(), key[1] == key[2]
+        label = pd.factorize(p["label"])[0]
         h = np.frombuffer(b"".join(p["hist"]), np.uint16).reshape(-1, HIST).astype(np.int32)
         upto = np.searchsorted(n, n / (1 - threshold) + 1e-6, "right")  # longer ones are too far by their length alone
         left, right = [], []
         for i in range(len(n)):
             j = np.arange(i + 1, upto[i])
+            j = j[label[j] != label[i]]
             if not inner:
                 j = j[part[j] != part[i]]
             if len(j):
@@ -209,7 +212,7 @@ def _within(own: DataFrame, threshold: float) -> DataFrame:
         return pd.DataFrame({"a": np.where(less, x, y), "b": np.where(less, y, x)}, dtype=object)
 
     parts = own.withColumn("parts", F.ceil(F.count("*").over(Window.partitionBy("key")) / TILE)).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    tiles = parts.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("key", F.least("part", "t").alias("x"), F.greatest("part", "t").alias("y"), "part", "node", "n", "hist")
+    tiles = parts.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("key", F.least("part", "t").alias("x"), F.greatest("part", "t").alias("y"), "part", "node", "label", "n", "hist")
     return tiles.groupBy("key", "x", "y").applyInPandas(run, "a binary, b binary").distinct()
 
 
@@ -273,30 +276,39 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, broadcast_nod
     possible = lambda pairs: _possible(pairs.join(stats("a", "na", "ha"), "a").join(stats("b", "nb", "hb"), "b"), threshold)
 
     label = members.select("node", F.col("node").alias("label"))
-    active = buckets
-    for turn in range(LEADER_ROUNDS + 1):
-        own = active.join(label, "node")
-        if turn < LEADER_ROUNDS:
-            led = own.withColumn("lead", F.min(F.struct("node", "label")).over(many))
-            pairs = led.where("lead.label <> label").groupBy(F.col("lead.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"))
-            pairs = C.cut(possible(pairs.select("a", "b", "shared").drop("shared")))
-        else:
-            one = own.groupBy("key", "label").agg(F.min("node").alias("node"))
-            pairs = C.cut(_within(one.select("key", "node").join(tokens.select("node", "n", "hist"), "node"), threshold))
-        new = _verified(pairs, tokens, threshold)
-        # only components that the new pairs connect are joined: each turn's graph is made of what is still apart
-        if turn:
-            of = lambda side: label.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
-            new = new.join(of("a"), "a").join(of("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
+    of = lambda side: label.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+
+    def merged(new: DataFrame) -> DataFrame:
+        """label after new pairs (a, b). Only components that they connect are joined: each turn's graph is made of what is still apart."""
+        new = new.join(of("a"), "a").join(of("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
         joined = components(new).select(F.col("node").alias("old"), F.col("label").alias("merged"))
-        label = C.cut(label.join(joined, F.col("label") == F.col("old"), "left").select("node", F.coalesce("merged", "label").alias("label")))
-        if turn < LEADER_ROUNDS:
-            # the leader has been compared with all; it and what is linked to it step back
-            own = active.join(label, "node").withColumn("lead", F.min(F.struct("node", "label")).over(many))
-            left = own.where("label <> lead.label").select("node", "key").withColumn("size", F.count("*").over(many)).where("size > 1").drop("size")
-            active = C.cut(left)
-            if active.isEmpty():
-                break
+        return C.cut(label.join(joined, F.col("label") == F.col("old"), "left").select("node", F.coalesce("merged", "label").alias("label")))
+
+    active, tested = buckets, []
+    for _ in range(LEADER_ROUNDS):
+        led = active.join(label, "node").withColumn("lead", F.min(F.struct("node", "label")).over(many))
+        tested.append(C.cut(possible(led.where("lead.label <> label").select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct())))
+        label = merged(_verified(tested[-1], tokens, threshold))
+        # the leader has been compared with all; it and what is linked to it step back
+        own = active.join(label, "node").withColumn("lead", F.min(F.struct("node", "label")).over(many))
+        left = own.where("label <> lead.label").select("node", "key").withColumn("size", F.count("*").over(many)).where("size > 1").drop("size")
+        active = C.cut(left)
+        if active.isEmpty():
+            break
+    # those that stepped back have met their leaders alone. Only a bucket's least node, its first leader, has met all others
+    own = buckets.join(label, "node").withColumn("least", F.min("node").over(many)).where("node <> least").drop("least")
+    own = own.withColumn("two", F.min("label").over(many) != F.max("label").over(many)).where("two").drop("two")
+    pairs = _within(own.join(tokens.select("node", "n", "hist"), "node"), threshold)
+    for done in tested:
+        pairs = pairs.join(done, ["a", "b"], "left_anti")
+    pairs = C.cut(pairs)
+    # one pair of each two components first: most that are near are joined by it, and their other pairs needn't be aligned
+    between = Window.partitionBy(F.least("a_label", "b_label"), F.greatest("a_label", "b_label")).orderBy("a", "b")
+    first = C.cut(pairs.join(of("a"), "a").join(of("b"), "b").withColumn("nth", F.row_number().over(between)).where("nth = 1").select("a", "b"))
+    if not first.isEmpty():
+        label = merged(_verified(first, tokens, threshold))
+        rest = pairs.join(first, ["a", "b"], "left_anti").join(of("a"), "a").join(of("b"), "b").where("a_label <> b_label").select("a", "b")
+        label = merged(_verified(C.cut(rest), tokens, threshold))
     docs_of = sig.select("doc_id", "row", "node").join(label.withColumnRenamed("label", "g"), "node", "left").select("doc_id", "row", F.coalesce("g", "node").alias("g"))
     group = docs_of.groupBy("g").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n_docs")).where("n_docs > 1")
     return docs_of.join(group, "g").select(C.id_back("doc_id").alias("doc_id"), C.id_back("group_id").alias("group_id"), F.col("n_docs").cast("long").alias("n_docs"))

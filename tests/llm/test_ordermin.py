@@ -63,6 +63,18 @@ def test_against_brute_force(spark, rng):
     assert by_join == got
 
 
+def test_copies_far_from_each_other_join_their_original(spark, rng):
+    """Each copy is 18% from its original and over 20% from most others, so it joins the group only if it meets the original."""
+    rows, want = [], set()
+    for _ in range(3):
+        text, first = prose(rng, 100).split(), len(rows)
+        want |= {(first + i, first, 46) for i in range(46)}
+        rows.append((len(rows), " ".join(text)))
+        for at in range(0, 90, 2):
+            rows.append((len(rows), " ".join(text[:at] + [f"v{len(rows)}x{j}" for j in range(18)] + text[at + 18 :])))
+    assert {tuple(r) for r in O.near_duplicates(make(spark, rows)).collect()} == want
+
+
 def test_order_matters(rng):
     a = prose(rng, 200).split()
     from retrievium.llm import common as C
