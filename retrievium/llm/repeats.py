@@ -107,7 +107,7 @@ def _tokens_of(ids: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 
 def _marks(pieces: pd.DataFrame, least: int, k: int, space: Space, small: int = SMALL) -> pd.DataFrame:
-    """doc_id, row, s: windows (first token and end, packed) of open pieces that pieces of at least two documents hold."""
+    """doc_id, row, s: windows (first token and end, packed) of open pieces that pieces of at least two documents, or a closed one, hold."""
     width = least - k + 1  # of a window, the anchor being one symbol
     none = pd.DataFrame({"doc_id": [], "row": [], "s": []})
     n_left, d = pieces["n_left"].to_numpy(), pieces["d"].to_numpy()
@@ -141,6 +141,7 @@ def _marks(pieces: pd.DataFrame, least: int, k: int, space: Space, small: int =
     begin = np.flatnonzero(new)
     who = owner[at]
     many = np.minimum.reduceat(d[who], begin) != np.maximum.reduceat(d[who], begin)
+    many |= ~np.minimum.reduceat(pieces["open"].to_numpy(bool)[who], begin)  # a closed piece stands for at least two documents
     hit = at[np.repeat(many, np.diff(np.append(begin, len(at)))) & pieces["open"].to_numpy()[who]]
     if not len(hit):
         return none

@@ -69,6 +69,17 @@ def test_against_brute_force(spark, rng):
         assert {tuple(r) for r in R.repeated_spans(make(spark, rows), **more).collect()} == want
 
 
+def test_repeat_inside_one_of_two_documents(spark, rng):
+    """Both of two documents hold the passage in one context; one of them has it once more, in a context of its own."""
+    rows = []
+    for i in range(0, 24, 2):
+        line, head, mid = (prose(rng, 60) for _ in range(3))
+        rows += [(i, f"{head} {line} {mid} {line}"), (i + 1, f"{head} {line} {mid}")]
+    want = brute(rows, R.LEAST)
+    assert all((i, 180, 240) in want or (i, 0, 240) in want for i in range(0, 24, 2))
+    assert {tuple(r) for r in R.repeated_spans(make(spark, rows)).collect()} == want
+
+
 def test_odd_rows(spark, odd, none):
     got = {tuple(r) for r in R.repeated_spans(odd).collect()}
     assert got == {(5, 0, 30_000), (6, 0, 30_000)}
