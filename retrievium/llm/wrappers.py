@@ -3,14 +3,14 @@
 A page becomes a stream of tags (name and class) and text slots. The distinct streams of a host are aligned one after the other,
 commonest first, into its wrapper, a regular expression without unions: a run that follows itself in some stream becomes
 a repeated group, wherever else it occurs, and what two streams don't share becomes optional. The place of a text in the wrapper is its slot.
-A slot whose text is the same on all pages of the host is part of the template and is left out; the others are the page's
-fields. Slots that hold long texts on the average over the host (CONTENT_SHARE of the longest such average) make up `text`.
+A slot that all pages of the host have, with the same text, is part of the template and is left out; the others are the page's
+fields. Pages of equal texts count as one here, pages without a text not at all. Slots that hold long texts on the average over the host (CONTENT_SHARE of the longest such average) make up `text`.
 
 Only distinct streams are aligned, so the work for a host follows the variety of its layouts. Pages are parsed three times, where they are:
 for the layouts, for what varies in each slot, and for the result; texts are neither gathered by host nor kept in between.
 
-Cases: a null or empty page has no fields and text ''; a page without a usable URL belongs to host ''; the texts of a host with a single page all
-stay, as nothing shows them to be template; broken markup is read leniently: a stray `<` is text; scripts, styles and comments are
+Cases: a null or empty page has no fields and text ''; a page without a usable URL belongs to host ''; the texts of a host with a single page, or one page
+repeated, all stay, as nothing shows them to be template; broken markup is read leniently: a stray `<` is text; scripts, styles and comments are
 dropped; repeated rows get a result each, alike; a null page_id stays null; an empty table gives no rows.
 """
 
@@ -268,10 +268,13 @@ def extract(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame
     made = wrappers(_layouts(pages))
     slots = _checked(made.select("host", F.xxhash64("signs").alias("sign_hash"), "slots"), broadcast_rows)
     placed = _streams(pages).join(slots, ["host", "sign_hash"])
-    each = placed.select("host", F.explode(F.arrays_zip("slots", "texts")).alias("x")).select("host", F.col("x.slots").alias("slot"), F.col("x.texts").alias("t"))
-    stats = each.groupBy("host", "slot").agg((F.min(F.xxhash64("t")) != F.max(F.xxhash64("t"))).alias("varies"), F.avg(F.length("t")).alias("mean"))
-    n_pages = _own(pages).groupBy("host").agg((F.count("*") == 1).alias("single"))
-    kept = stats.join(n_pages, "host").where("varies or single")
+    each = placed.select("host", F.xxhash64("texts").alias("page"), F.explode(F.arrays_zip("slots", "texts")).alias("x")).select("host", "page", F.col("x.slots").alias("slot"), F.col("x.texts").alias("t"))
+    stats = each.groupBy("host", "slot").agg((F.min(F.xxhash64("t")) != F.max(F.xxhash64("t"))).alias("varies"), (F.min("page") == F.max("page")).alias("single"), F.avg(F.length("t")).alias("mean"))
+    # a slot is on all pages if all layouts that hold a text have it
+    texts = slots.where(F.size("slots") > 0)
+    having = texts.select("host", F.explode(F.array_distinct("slots")).alias("slot")).groupBy("host", "slot").agg(F.count("*").alias("n_having"))
+    n_layouts = texts.groupBy("host").agg(F.count("*").alias("n_layouts"))
+    kept = stats.join(having, ["host", "slot"]).join(n_layouts, "host").where("varies or single or n_having < n_layouts")
     kept = kept.groupBy("host").agg(F.collect_list(F.struct("slot", "mean")).alias("s"), F.max("mean").alias("top"))
     kept = kept.select("host", F.transform("s", lambda x: x["slot"]).alias("field_slots"), F.transform(F.filter("s", lambda x: x["mean"] >= F.col("top") * CONTENT_SHARE), lambda x: x["slot"]).alias("text_slots"))
     both = placed.join(_checked(kept, broadcast_rows), "host", "left")

@@ -18,6 +18,18 @@ def test_wrapper_and_fields(spark):
     assert ")+" in w.regex() and ")?" in w.regex()
 
 
+def test_template_is_on_all_of_several_pages(spark):
+    one, other = "<div>Site</div><p>first {}</p>", "<div>Site</div><table><td>only here</td></table><p>first {}</p>"
+    rows = [(i, f"http://a.org/{i}", one.format(i), "x") for i in range(3)] + [(3, "http://a.org/3", other.format(3), "x"), (4, "http://a.org/4", "", "x")]
+    rows += [(5, "http://b.org/1", "<h1>head</h1>", "x"), (6, "http://b.org/2", "<ul><li>item</ul>", "x")]  # no slot in common
+    rows += [(7, "http://c.org", "<p>again</p><b>and</b>", "x")] * 2 + [(8, "http://c.org", None, "x")]  # one page, repeated
+    for most in (1000, 0):
+        got = {r.page_id: r for r in W.extract(spark.createDataFrame(rows, PAGES), most).collect()}
+        fields = {i: [f.text for f in r.fields] for i, r in got.items()}
+        assert fields == {0: ["first 0"], 1: ["first 1"], 2: ["first 2"], 3: ["only here", "first 3"], 4: [], 5: ["head"], 6: ["item"], 7: ["again", "and"], 8: []}
+        assert got[3].text == "only here\nfirst 3" and got[5].text == "head" and got[6].text == "item" and got[7].text == "again\nand"
+
+
 def test_odd_rows(spark):
     big = "<p>" + "y" * 300_000 + "</p>"
     rows = [(1, None, None, "h"), (2, "", "", "h"), (None, "http://b.org/x", "<p>one<p>two < three", "h"), (3, "not a url", "plain", "h"), (4, "http://c.org", big, "h"), (4, "http://c.org", big, "h"), (5, "http://d.org", "<!-- c --><script>var x = '<p>no</p>'</script><b>yes</b>", "h")]
