@@ -19,7 +19,7 @@ from . import common as C
 N = 8
 #: Grams that are broadcast at most (about 100 bytes each); a larger benchmark is joined by a shuffle.
 BROADCAST_GRAMS = 1_000_000
-SPANS = "doc_id long, span_start long, span_end long, n_grams long"
+SPANS = "doc_id long, row long, span_start long, span_end long, n_grams long"
 
 
 def _grams(items: DataFrame, n: int) -> DataFrame:
@@ -56,11 +56,16 @@ def _spans(doc: np.ndarray, pos: np.ndarray, n: int) -> pd.DataFrame:
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, n: int = N, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """Token spans of docs that are made of benchmark n-grams: doc_id, span_start, span_end (exclusive), n_grams."""
+    return _found(docs, benchmark, n, broadcast_grams).drop("row").withColumn("doc_id", C.id_back("doc_id"))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, n: int, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+    """The spans with row (text hash); doc_id as a key."""
     spark = docs.sparkSession
     C.ship(spark)
     grams = _grams(benchmark, n)
     kept = grams.limit(broadcast_grams + 1).toPandas()
-    ids = docs.select(C.id_key().alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ids = docs.select(C.id_key().alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("text"))
     if len(kept) > broadcast_grams:
         return _by_join(ids, grams, n)
     known: dict[int, set[str]] = {}
@@ -89,16 +94,16 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, n: int = N, broadc
                 if keep:
                     k = np.array(keep)
                     out = _spans(tok.doc[k], k - tok.first[tok.doc[k]], n)
-                    out.insert(0, "doc_id", p["doc_id"].to_numpy()[at + out.pop("doc").to_numpy()])
+                    which = at + out.pop("doc").to_numpy()
+                    out.insert(0, "doc_id", p["doc_id"].to_numpy()[which])
+                    out.insert(1, "row", p["row"].to_numpy()[which])
                     yield out
 
-    return ids.mapInPandas(run, SPANS).withColumn("doc_id", C.id_back("doc_id"))
+    return ids.mapInPandas(run, SPANS)
 
 
 def _by_join(ids: DataFrame, grams: DataFrame, n: int) -> DataFrame:
     """The same for a benchmark too large to broadcast: the windows' hashes are shuffled, then the words are compared."""
-    ids = ids.withColumn("row", F.xxhash64("text"))
-
     def windows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             for at, texts in C.groups(p["text"]):
@@ -112,21 +117,21 @@ def _by_join(ids: DataFrame, grams: DataFrame, n: int) -> DataFrame:
 
     def verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            for d, text, hits in zip(p["doc_id"].tolist(), p["text"].tolist(), p["hits"].tolist()):
+            for d, row, text, hits in zip(p["doc_id"].tolist(), p["row"].tolist(), p["text"].tolist(), p["hits"].tolist()):
                 tok, low = C.tokenize([text]), C.fold(C.code_points(text))
                 pos = np.unique(np.array([x["pos"] for x in hits if _words(low, tok, x["pos"], n) == x["words"]], np.int64))
                 out = _spans(np.zeros(len(pos), np.int64), pos, n)
-                out["doc"] = d
+                out["doc"], out["row"] = d, row
                 yield out.rename(columns={"doc": "doc_id"})
 
-    return ids.join(found, ["doc_id", "row"]).select("doc_id", "text", "hits").mapInPandas(verify, SPANS).withColumn("doc_id", C.id_back("doc_id"))
+    return ids.join(found, ["doc_id", "row"]).select("doc_id", "row", "text", "hits").mapInPandas(verify, SPANS)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
-    """docs, all columns, without the documents that hold a benchmark span. Rows with a null doc_id go if one of them does."""
-    bad = C.fresh(docs, "bad_id")
-    found = contaminated_spans(docs, benchmark, n).select(F.col("doc_id").alias(bad)).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found[bad]), "left_anti")
+    """docs, all columns, without the documents that hold a benchmark span. Rows that share a doc_id, or have none, are told apart by their texts."""
+    bad, row = C.fresh(docs, "bad_id"), C.fresh(docs, "bad_text")
+    found = _found(docs, benchmark, n).select(F.col("doc_id").alias(bad), F.col("row").alias(row)).distinct()
+    return docs.join(found, (C.id_key(docs["doc_id"]) == found[bad]) & (F.xxhash64(docs["text"].cast("string")) == found[row]), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:

@@ -260,8 +260,8 @@ def _tokens(docs: DataFrame, nodes: DataFrame, broadcast_nodes: int) -> DataFram
     return joined.mapInPandas(run, "node binary, n long, hist binary, tok binary").dropDuplicates(["node"])
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
-    """doc_id, group_id (least doc_id of its group), n_docs; only documents in a group of at least two rows."""
+def _grouped(docs: DataFrame, threshold: float, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
+    """doc_id, row (text hash), g (group), first (the group's least doc_id and row), n_docs; ids as keys, a row for each of docs that is in a group."""
     spark = docs.sparkSession
     C.ship(spark)
     sig = C.written(_signatures(docs))
@@ -310,20 +310,25 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, broadcast_nod
         rest = pairs.join(first, ["a", "b"], "left_anti").join(of("a"), "a").join(of("b"), "b").where("a_label <> b_label").select("a", "b")
         label = merged(_verified(C.cut(rest), tokens, threshold))
     docs_of = sig.select("doc_id", "row", "node").join(label.withColumnRenamed("label", "g"), "node", "left").select("doc_id", "row", F.coalesce("g", "node").alias("g"))
-    group = docs_of.groupBy("g").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n_docs")).where("n_docs > 1")
-    return docs_of.join(group, "g").select(C.id_back("doc_id").alias("doc_id"), C.id_back("group_id").alias("group_id"), F.col("n_docs").cast("long").alias("n_docs"))
+    group = docs_of.groupBy("g").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("n_docs")).where("n_docs > 1")
+    return docs_of.join(group, "g")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
+    """doc_id, group_id (least doc_id of its group), n_docs; only documents in a group of at least two rows."""
+    found = _grouped(docs, threshold, broadcast_nodes).withColumn("group_id", F.col("first.doc_id"))
+    return found.select(C.id_back("doc_id").alias("doc_id"), C.id_back("group_id").alias("group_id"), F.col("n_docs").cast("long").alias("n_docs"))
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs, all columns, with one document of each group: the row of least (doc_id, text hash); of equal rows one stays."""
-    i, g, r = (C.fresh(docs, x) for x in ("dup_id", "dup_group", "dup_rank"))
-    dup = near_duplicates(docs, threshold).select(C.id_key().alias(i), C.id_key("group_id").alias(g)).distinct()
-    own = docs.withColumn(r, C.id_key())
-    joined = own.join(dup, F.col(r) == F.col(i), "left")
+    i, t, g, f, r = (C.fresh(docs, x) for x in ("dup_id", "dup_text", "dup_group", "dup_first", "dup_rank"))
+    first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))
+    dup = _grouped(docs, threshold).select(F.col("doc_id").alias(i), F.col("row").alias(t), F.col("g").alias(g), first.alias(f)).distinct()
+    own = docs.withColumn(r, F.xxhash64(F.col("text").cast("string")))
+    joined = own.join(dup, (C.id_key(own["doc_id"]) == F.col(i)) & (F.col(r) == F.col(t)), "left")
     alone = joined.where(F.col(i).isNull()).select(*docs.columns)
-    firsts = joined.where(F.col(i) == F.col(g))
-    t = F.xxhash64(F.col("text").cast("string"))
-    firsts = firsts.withColumn(r, F.row_number().over(Window.partitionBy(g).orderBy(t))).where(F.col(r) == 1).select(*docs.columns)
+    firsts = joined.where(F.col(f)).withColumn(r, F.row_number().over(Window.partitionBy(g).orderBy(t))).where(F.col(r) == 1).select(*docs.columns)
     return alone.unionByName(firsts)
 
 

@@ -28,6 +28,14 @@ def test_both_ways_find_the_same(spark, rng):
     assert D.contaminated_spans(D.remove_spans(docs, bench), bench).count() == 0
 
 
+def test_rows_of_one_id_are_told_apart(spark, rng):
+    leak = prose(rng, 20)
+    bench = spark.createDataFrame([(1, leak)], ITEMS)
+    rows = [(i, t) for i in (None, 4) for t in (f"before {leak}", "clean text", prose(rng, 30))]
+    kept = {(r.doc_id, r.text) for r in D.keep_clean(make(spark, rows), bench).collect()}
+    assert kept == {r for r in rows if leak not in r[1]}
+
+
 def test_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "same text here same text here same text here")], ITEMS)
     assert D.contaminated_spans(odd, bench).count() == 0

@@ -84,6 +84,15 @@ def test_order_matters(rng):
     assert (s[0] == s[1]).all() and (s[0] == s[2]).mean() < 0.9
 
 
+def test_rows_of_one_id_are_told_apart(spark, rng):
+    """Null and repeated ids: only the row that is in a group may go, and each group keeps one."""
+    a, b = prose(rng, 60), prose(rng, 60)
+    others = [prose(rng, 40) for _ in range(6)]
+    rows = [(None, a), (4, a), (4, b), (5, b)] + [(None, x) for x in others[:3]] + [(4, x) for x in others[3:]]
+    kept = [(r.doc_id, r.text) for r in O.keep_first(make(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(None, a), (4, b), *rows[4:]], key=str)
+
+
 def test_odd_rows(spark, odd, none):
     got = {tuple(r) for r in O.near_duplicates(odd).collect()}
     assert {(5, 5, 2), (6, 5, 2), (7, 7, 2)} <= got and not {1, 2, 3, 8} & {g[0] for g in got}
