@@ -1,4 +1,4 @@
-"""Template queries for documents (doc_id, title, body, source), their quality and diversity. Narrow: everything but long bodies' concepts is one projection."""
+"""Template queries for documents (doc_id, title, body, source), their quality and diversity. All but the concepts of long bodies is one projection."""
 
 from __future__ import annotations
 
@@ -54,8 +54,7 @@ def document_type(source: Column) -> Column:
 
 def _topic(title: Column, n: int) -> Column:
     """The key terms of a title, or its first n characters."""
-    terms = T.key_terms(title)
-    return F.when(F.size(terms) > 0, F.array_join(terms, " ")).otherwise(F.substring(title, 1, n))
+    return T.let(T.key_terms(title), lambda terms: F.when(F.size(terms) > 0, F.array_join(terms, " ")).otherwise(F.substring(title, 1, n)))
 
 
 def _none() -> Column:
@@ -63,27 +62,36 @@ def _none() -> Column:
 
 
 def news_queries(title: Column, doc_id: Column) -> Column:
-    t = F.trim(title)
-    h = T.stable_hash(doc_id, 100)
-    own = F.array(*[fill(F.when(F.pmod(h + i, F.lit(2)) == 0, a).otherwise(b), _topic(t, 40)) for i, (a, b) in enumerate(NEWS_PAIRS)])
-    return F.when(t != "", F.filter(own, lambda q: T.n_words(q).between(5, 50))).otherwise(_none())
+    def own(x: Column) -> Column:
+        made = F.array(*[fill(F.when(F.pmod(x["h"] + i, F.lit(2)) == 0, a).otherwise(b), x["topic"]) for i, (a, b) in enumerate(NEWS_PAIRS)])
+        return F.filter(made, lambda q: T.n_words(q).between(5, 50))
+
+    def used(t: Column) -> Column:
+        return F.when(t != "", T.let(F.struct(_topic(t, 40).alias("topic"), T.stable_hash(doc_id, 100).alias("h")), own)).otherwise(_none())
+
+    return T.let(F.trim(title), used)
 
 
 def fixed_queries(kind: str, topic: Column, usable: Column) -> Column:
-    return F.when(usable, F.array(*[fill(F.lit(x), topic) for x in FIXED[kind]])).otherwise(_none())
+    return F.when(usable, T.let(topic, lambda x: F.array(*[fill(F.lit(q), x) for q in FIXED[kind]]))).otherwise(_none())
 
 
 def queries_for(kind: Column, title: Column, body: Column, doc_id: Column) -> Column:
     """Queries of a document of a kind; a null title or body is an empty one."""
-    t, b = F.trim(F.coalesce(title, F.lit(""))), F.trim(F.coalesce(body, F.lit("")))
-    return (
-        F.when(kind == "news", news_queries(t, doc_id))
-        .when(kind == "summarization", fixed_queries("summarization", _topic(t, 30), t != ""))
-        .when(kind == "stories", fixed_queries("stories", F.substring(t, 1, 50), t != ""))
-        .when(kind == "ner", fixed_queries("ner", F.lit(""), F.length(b) >= 20))
-        .when(kind == "recipes", fixed_queries("recipes", t, t != ""))
-        .otherwise(_none())
-    )
+
+    def own(x: Column) -> Column:
+        t, b = x["t"], x["b"]
+        return (
+            F.when(x["kind"] == "news", news_queries(t, x["id"]))
+            .when(x["kind"] == "summarization", fixed_queries("summarization", _topic(t, 30), t != ""))
+            .when(x["kind"] == "stories", fixed_queries("stories", F.substring(t, 1, 50), t != ""))
+            .when(x["kind"] == "ner", fixed_queries("ner", F.lit(""), F.length(b) >= 20))
+            .when(x["kind"] == "recipes", fixed_queries("recipes", t, t != ""))
+            .otherwise(_none())
+        )
+
+    trimmed = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    return T.let(F.struct(kind.alias("kind"), trimmed(title).alias("t"), trimmed(body).alias("b"), doc_id.alias("id")), own)  # each of them once, not once a template
 
 
 def generate(docs: DataFrame) -> DataFrame:
@@ -108,18 +116,28 @@ def diversity(concept_sets: Column) -> Column:
     return F.when(n <= 1, 1.0).otherwise(1 - F.aggregate(pairs, F.lit(0.0), lambda x, y: x + y) / F.size(pairs))
 
 
+def metrics(queries: Column, body_concepts: Column) -> Column:
+    """Struct of quality_scores, avg_quality, diversity and num_queries; null without queries."""
+
+    def scored(x: Column) -> Column:
+        score = lambda q: F.round(quality(q["q"], q["c"], x["body"]), 6)
+        return F.struct(F.transform(x["each"], score).alias("s"), x["each"].alias("each"))
+
+    def own(x: Column) -> Column:
+        mean = F.round(F.aggregate(x["s"], F.lit(0.0), lambda a, b: a + b) / F.size(x["s"]), 6)
+        sets = F.transform(x["each"], lambda q: q["c10"])
+        return F.struct(x["s"].alias("quality_scores"), mean.alias("avg_quality"), F.round(diversity(sets), 6).alias("diversity"), F.size(x["s"]).cast("long").alias("num_queries"))
+
+    each = F.transform(queries, lambda q: T.let(T.concepts(q, 10), lambda c: F.struct(q.alias("q"), F.slice(c, 1, 8).alias("c"), c.alias("c10"))))
+    return F.when(F.size(queries) > 0, T.let(T.let(F.struct(each.alias("each"), body_concepts.alias("body")), scored), own))
+
+
 def with_metrics(generated: DataFrame) -> DataFrame:
-    """generated with metrics: struct of quality_scores, avg_quality, diversity and num_queries; null without queries."""
-    has = generated.where("num_queries > 0").withColumn("text_", T.falsy_coalesce("body", "title"))
-    # one row a document with the body's concepts, joined by doc_id
-    body = concept_arrays(has.select("doc_id", F.col("text_").alias("body")), 15).select("doc_id", F.col("concepts").alias("body_c"))
-    own = generated.join(body, "doc_id", "left").withColumn("body_c", F.coalesce("body_c", _none()))
-    own = own.withColumn("q8", F.transform("queries", lambda q: T.concepts(q, 8))).withColumn("q10", F.transform("queries", lambda q: T.concepts(q, 10)))
-    scores = F.transform(F.arrays_zip(F.col("queries").alias("q"), F.col("q8").alias("c")), lambda x: F.round(quality(x["q"], x["c"], F.col("body_c")), 6))
-    own = own.withColumn("s", scores)
-    mean = F.round(F.aggregate("s", F.lit(0.0), lambda a, b: a + b) / F.size("s"), 6)
-    m = F.struct(F.col("s").alias("quality_scores"), mean.alias("avg_quality"), F.round(diversity(F.col("q10")), 6).alias("diversity"), F.col("num_queries").alias("num_queries"))
-    return own.withColumn("metrics", F.when(F.col("num_queries") > 0, m)).drop("body_c", "q8", "q10", "s")
+    """generated with metrics (see metrics). Only ids and concepts of bodies move, never bodies."""
+    has = generated.where("num_queries > 0").select("doc_id", T.falsy_coalesce("body", "title").alias("body"))
+    body = concept_arrays(has, 15).select("doc_id", F.col("concepts").alias("body_c"))
+    own = generated.join(body, "doc_id", "left")
+    return own.withColumn("metrics", metrics(F.col("queries"), F.coalesce("body_c", _none()))).drop("body_c")
 
 
 def title_query(title: Column, content: Column, index: Column) -> Column:

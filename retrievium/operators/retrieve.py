@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 BROADCAST_QUERIES = 20_000
+BROADCAST_TOKENS = 200_000  # some 50 bytes each
 ROW_BLOCK, QUERY_BLOCK = 65_536, 8_192
 HITS = "query_id long, doc_id long, score double"
 
@@ -94,11 +95,15 @@ def ranked(hits: DataFrame, k: int, *order: Column | str, by: str = "query_id")
     return hits.withColumn("rank", r.cast("long")).where(F.col("rank") <= k)
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """doc_id, token, tf, dl from docs (doc_id, body)."""
+def postings(docs: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+    """doc_id, token, tf, dl from docs (doc_id, body); of all tokens, or of those in tokens (token), which the others then never leave their task for."""
     # the length comes out of the generator with each token: a column beside it would be computed for each token anew
     each = T.let(T.ws_tokens("body"), lambda t: F.transform(t, lambda w: F.struct(w.alias("token"), F.size(t).cast("long").alias("dl"))))
-    return docs.select("doc_id", F.explode(each).alias("x")).groupBy("doc_id", "x.dl", "x.token").agg(F.count("*").alias("tf"))
+    x = docs.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.token", "x.dl")
+    if tokens is not None:
+        few = tokens.select("token").distinct()
+        x = x.join(F.broadcast(few) if few.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS else few, "token", "left_semi")
+    return x.groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
@@ -106,23 +111,22 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n_docs"), F.avg(T.n_words("body").cast("double")).alias("avgdl"))
 
 
-def token_idf(posts: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> DataFrame:
-    """token, df, idf; a negative idf becomes epsilon times the mean idf of all tokens."""
-    df = posts.groupBy("token").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(stats)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # stats is one row
-    mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    return raw.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+def token_idf(docs: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> DataFrame:
+    """token, df, idf; a negative idf becomes epsilon times the mean idf of all tokens. Document frequencies are counted in each task before they move."""
+    df = docs.select(F.explode(F.array_distinct(T.ws_tokens("body"))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    raw = df.withColumn("raw", F.log(stats.select("n_docs").scalar() - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.agg(F.avg("raw")).scalar()
+    return raw.select("token", "df", F.when(F.col("raw") < 0, epsilon * mean).otherwise(F.col("raw")).alias("idf"))
 
 
 def bm25_scores(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """query_id, doc_id, score over pairs that share a token; a token that a query repeats counts as often."""
-    posts, stats = postings(docs), corpus_stats(docs)
+    stats = corpus_stats(docs)
     asked = queries.select("query_id", F.explode(T.ws_tokens("query")).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    idf = token_idf(posts, stats, epsilon)
-    weighed = asked.join(idf, "token").crossJoin(F.broadcast(stats.select("avgdl")))
+    weighed = asked.join(token_idf(docs, stats, epsilon), "token")
     tf, dl = F.col("tf"), F.col("dl")
-    part = F.col("times") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
-    return weighed.join(posts, "token").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    part = F.col("times") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / stats.select("avgdl").scalar()))
+    return weighed.join(postings(docs, asked), "token").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def overlap_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:

@@ -121,11 +121,12 @@ def triplet_loss_mean(s: SparkSession, d: str) -> DataFrame:
 
 def _gated(s: SparkSession, d: str) -> DataFrame:
     t = A.with_vectors(s, d, A.mined(s, d))
-    body = A.bodies(s, d)
+    # each document's tokens and bigrams are hashed to 64 bits once, and pairs are scored on those
+    sets = T.let(T.ws_tokens("body"), lambda w: F.struct(T.hashed_ngrams(w, 2).alias("g"), T.hashed_ngrams(w, 1).alias("w")))
+    body = A.bodies(s, d).join(A.table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", sets.alias("x"))
     for i, c in (("query_id", "qt"), ("positive_doc_id", "pt"), ("negative_doc_id", "nt")):
-        # the token sets of each text are made once, before the join
-        t = t.join(body.select(F.col("doc_id").alias(i), F.struct(T.ngrams(T.ws_tokens("body"), 2).alias("g"), F.array_distinct(T.ws_tokens("body")).alias("w")).alias(c)), i, "left")
-    none = F.array().cast("array<string>")
+        t = t.join(body.select(F.col("doc_id").alias(i), F.col("x").alias(c)), i, "left")
+    none = F.array().cast("array<bigint>")
     g = lambda c, k: F.coalesce(F.col(f"{c}.{k}"), none)
     m = t.withColumn("ngram_overlap", r6(T.jaccard(g("qt", "g"), g("pt", "g")))).withColumn("diversity_score", r6(1 - V.cosine(F.col("p"), F.col("n")))).withColumn("entailment_score", r6(V.cosine(F.col("a"), F.col("p"))))
     m = m.withColumn("overlap_difference", r6(T.jaccard(g("qt", "w"), g("pt", "w")) - T.jaccard(g("qt", "w"), g("nt", "w")))).drop("qt", "pt", "nt", "a", "p", "n")
@@ -292,7 +293,7 @@ def bm25_corpus_stats(s: SparkSession, d: str) -> DataFrame:
 @query
 def bm25_idf(s: SparkSession, d: str) -> DataFrame:
     b = A.bodies(s, d)
-    return retrieve.token_idf(retrieve.postings(b), retrieve.corpus_stats(b)).withColumn("idf", r6(F.col("idf")))
+    return retrieve.token_idf(b, retrieve.corpus_stats(b)).withColumn("idf", r6(F.col("idf")))
 
 
 @query

@@ -89,7 +89,7 @@ LEX = f"{TURNS}, o AS (SELECT conv_id, turn, {ws('a')} AS a, {ws('b')} AS b FROM
 TOKS = "bt AS (SELECT doc_id, unnest(" + ws("text") + ") AS token FROM documents), po AS (SELECT doc_id, token, count(*) AS tf FROM bt GROUP BY ALL), dl AS (SELECT doc_id, len(" + ws("text") + ") AS dl FROM documents)"
 IDF = f"""{TOKS}, st AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM dl),
 df AS (SELECT token, count(*) AS df FROM po GROUP BY token), rw AS (SELECT token, df, ln(n_docs - df + 0.5) - ln(df + 0.5) AS raw FROM df, st),
-idf AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM rw) ELSE raw END AS idf FROM rw)"""
+mn AS (SELECT avg(raw) AS mean_raw FROM rw), idf AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * mean_raw ELSE raw END AS idf FROM rw CROSS JOIN mn)"""
 
 
 def bm25(asked: str, k: int, exclude: bool = False) -> str:
