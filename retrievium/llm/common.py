@@ -1,7 +1,7 @@
 """What the training-data operators share: shipping code, cutting lineage, ids, and a vectorised tokenizer.
 
 Tokens are maximal runs of letters and digits, lower-cased one code point at a time. A token is known by a 64-bit
-polynomial hash; every operator that could be hurt by a collision compares the text itself before it decides.
+polynomial hash. Where only that, or less of it, is compared, the operator's docstring says so; decontamination compares words.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ import functools
 import io
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
 from pathlib import Path
@@ -20,6 +19,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut, remove, scratch, shared_dir, written  # noqa: F401
+
 NO_ID = -(2**63)  # stands for a null doc_id while rows are compared; never returned
 CHUNK_CHARS = 1 << 20  # texts are tokenized in groups of about this size, which bounds a worker's memory
 _shipped: set[str] = set()
@@ -41,34 +42,21 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    jsc = spark.sparkContext._jsc.sc()
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="retrievium-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def written(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back; for results too large for row checkpoints."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/retrievium-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.parquet(at)
 
+def sampled(df: DataFrame, rows: int) -> DataFrame:
+    """At most `rows` rows of df, those of least hash over all columns, in its order; for training, where the bound is a parameter.
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    Rows are first cut by a threshold of the hash that some four times as many are below, so that no task, and not the driver,
+    gets many more than it needs however large df is.
+    """
+    h, n = fresh(df, "h"), df.count()
+    own = df.withColumn(h, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    if n > 4 * rows + 100:
+        own = own.where(F.col(h) < int((4 * rows + 100) / n * 2**64) - 2**63)
+    return own.orderBy(h).limit(rows).drop(h)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -1,16 +1,20 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams, scanned over all training windows.
 
-Cases: a null or empty text has no window and is clean; a benchmark item with fewer than n tokens gives no evidence and
+Up to BROADCAST_GRAMS grams and BROADCAST_BYTES bytes of words are broadcast, and texts are looked through where they are; a larger benchmark
+is joined with the windows by hash in a shuffle. Hits are compared word by word either way.
+
+Cases: a null or empty text has no window and is clean; rows that share a doc_id, or have none, are told apart by their texts; a benchmark item with fewer than n tokens gives no evidence and
 is ignored; repeated documents are each reported; a null doc_id is reported as null; an empty benchmark or an empty
 corpus gives no rows. Only doc_id and text are read, so further columns of any name don't matter.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +23,7 @@ from . import common as C
 N = 8
 #: Grams that are broadcast at most (about 100 bytes each); a larger benchmark is joined by a shuffle.
 BROADCAST_GRAMS = 1_000_000
+BROADCAST_BYTES = 1 << 27
 SPANS = "doc_id long, row long, span_start long, span_end long, n_grams long"
 
 
@@ -61,38 +66,17 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, n: int = N, broadc
 
 def _found(docs: DataFrame, benchmark: DataFrame, n: int, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """The spans with row (text hash); doc_id as a key."""
-    spark = docs.sparkSession
-    C.ship(spark)
-    grams = _grams(benchmark, n)
-    kept = grams.limit(broadcast_grams + 1).toPandas()
     ids = docs.select(C.id_key().alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("text"))
-    if len(kept) > broadcast_grams:
+    shared, grams = _known(docs.sparkSession, benchmark, n, broadcast_grams)
+    if shared is None:
         return _by_join(ids, grams, n)
-    known: dict[int, set[str]] = {}
-    for h, w in zip(kept["gram"].tolist(), kept["words"].tolist()):
-        known.setdefault(h, set()).add(w)
-    shared = spark.sparkContext.broadcast(known)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams = shared.value
-        sieve = np.zeros(1 << 22, bool)
-        sieve[np.fromiter(grams, np.int64, len(grams)).view(np.uint64) >> np.uint64(42)] = True
+        find = _finder(shared.value, n)
         for p in parts:
             for at, texts in C.groups(p["text"]):
-                tok = C.tokenize(texts)
-                h = C.gram_hashes(tok.hashes, n)
-                hit = np.flatnonzero(sieve[h >> np.uint64(42)] & C.inside(tok, n))
-                low: dict[int, np.ndarray] = {}
-                keep = []
-                for i, g in zip(hit.tolist(), h[hit].view(np.int64).tolist()):
-                    if (words := grams.get(g)) is not None:
-                        d = int(tok.doc[i])
-                        if d not in low:
-                            low[d] = C.fold(C.code_points(texts[d]))
-                        if _words(low[d], tok, i, n) in words:
-                            keep.append(i)
-                if keep:
-                    k = np.array(keep)
+                tok, k = find(texts)
+                if len(k):
                     out = _spans(tok.doc[k], k - tok.first[tok.doc[k]], n)
                     which = at + out.pop("doc").to_numpy()
                     out.insert(0, "doc_id", p["doc_id"].to_numpy()[which])
@@ -102,6 +86,42 @@ def _found(docs: DataFrame, benchmark: DataFrame, n: int, broadcast_grams: int =
     return ids.mapInPandas(run, SPANS)
 
 
+def _known(spark: SparkSession, benchmark: DataFrame, n: int, broadcast_grams: int) -> tuple[Broadcast | None, DataFrame]:
+    """The grams, gram (hash) to words, as a broadcast, or None where they are too many or too long for it; and their table."""
+    C.ship(spark)
+    grams = C.cut(_grams(benchmark, n))
+    size = grams.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("words")), F.lit(0)).alias("bytes")).first()
+    if size["n"] > broadcast_grams or size["bytes"] > BROADCAST_BYTES:
+        return None, grams
+    known: dict[int, set[str]] = {}
+    for r in grams.collect():
+        known.setdefault(r["gram"], set()).add(r["words"])
+    return spark.sparkContext.broadcast(known), grams
+
+
+def _finder(grams: dict[int, set[str]], n: int) -> Callable[[list[str]], tuple[C.Tokens, np.ndarray]]:
+    """A function from texts to their tokens and the first tokens of their windows that are benchmark grams."""
+    sieve = np.zeros(1 << 22, bool)
+    sieve[np.fromiter(grams, np.int64, len(grams)).view(np.uint64) >> np.uint64(42)] = True
+
+    def find(texts: list[str]) -> tuple[C.Tokens, np.ndarray]:
+        tok = C.tokenize(texts)
+        h = C.gram_hashes(tok.hashes, n)
+        hit = np.flatnonzero(sieve[h >> np.uint64(42)] & C.inside(tok, n))
+        low: dict[int, np.ndarray] = {}
+        keep = []
+        for i, g in zip(hit.tolist(), h[hit].view(np.int64).tolist()):
+            if (words := grams.get(g)) is not None:
+                d = int(tok.doc[i])
+                if d not in low:
+                    low[d] = C.fold(C.code_points(texts[d]))
+                if _words(low[d], tok, i, n) in words:
+                    keep.append(i)
+        return tok, np.array(keep, np.int64)
+
+    return find
+
+
 def _by_join(ids: DataFrame, grams: DataFrame, n: int) -> DataFrame:
     """The same for a benchmark too large to broadcast: the windows' hashes are shuffled, then the words are compared."""
     def windows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,35 +147,47 @@ def _by_join(ids: DataFrame, grams: DataFrame, n: int) -> DataFrame:
     return ids.join(found, ["doc_id", "row"]).select("doc_id", "row", "text", "hits").mapInPandas(verify, SPANS)
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
-    """docs, all columns, without the documents that hold a benchmark span. Rows that share a doc_id, or have none, are told apart by their texts."""
+def keep_clean(docs: DataFrame, benchmark: DataFrame, n: int = N, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+    """docs, all columns, without the documents that hold a benchmark span; looked through where they are, if the benchmark can be broadcast."""
+    shared, _ = _known(docs.sparkSession, benchmark, n, broadcast_grams)
+    if shared is not None:
+
+        @F.pandas_udf("boolean")
+        def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            find = _finder(shared.value, n)
+            for p in parts:
+                ok = np.ones(len(p), bool)
+                for at, texts in C.groups(p):
+                    tok, k = find(texts)
+                    ok[at + tok.doc[k]] = False
+                yield pd.Series(ok)
+
+        return docs.where(clean(F.col("text").cast("string")))
     bad, row = C.fresh(docs, "bad_id"), C.fresh(docs, "bad_text")
-    found = _found(docs, benchmark, n).select(F.col("doc_id").alias(bad), F.col("row").alias(row)).distinct()
+    found = _found(docs, benchmark, n, broadcast_grams).select(F.col("doc_id").alias(bad), F.col("row").alias(row)).distinct()
     return docs.join(found, (C.id_key(docs["doc_id"]) == found[bad]) & (F.xxhash64(docs["text"].cast("string")) == found[row]), "left_anti")
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = N, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """docs, all columns, with the spans cut from the texts: from the span's first token to its last one's end."""
-    bad, cuts = C.fresh(docs, "bad_id"), C.fresh(docs, "cuts")
-    found = contaminated_spans(docs, benchmark, n).groupBy(F.col("doc_id").alias(bad)).agg(F.array_sort(F.collect_set(F.struct("span_start", "span_end"))).alias(cuts))
+    bad, row, cuts = C.fresh(docs, "bad_id"), C.fresh(docs, "bad_text"), C.fresh(docs, "cuts")
+    spans = F.array_sort(F.collect_set(F.struct("span_start", "span_end")))
+    found = _found(docs, benchmark, n, broadcast_grams).groupBy(F.col("doc_id").alias(bad), F.col("row").alias(row)).agg(spans.alias(cuts))
 
     @F.pandas_udf("string")
     def without(text: pd.Series, cuts: pd.Series) -> pd.Series:
         out = []
         for t, c in zip(text, cuts):
             if isinstance(t, str) and c is not None and len(c):
-                tok, left = C.tokenize([t]), 0
-                parts = []
+                tok, left, parts = C.tokenize([t]), 0, []
                 for x in c:
-                    a, b = x["span_start"], x["span_end"]
-                    if b <= len(tok.start):
-                        parts.append(t[left : tok.start[a]])
-                        left = tok.end[b - 1]
+                    parts.append(t[left : tok.start[x["span_start"]]])
+                    left = tok.end[x["span_end"] - 1]
                 t = "".join(parts) + t[left:]
             out.append(t)
-        return pd.Series(out)
+        return pd.Series(out, dtype=object)
 
-    j = docs.join(found, docs["doc_id"].eqNullSafe(found[bad]), "left")
+    j = docs.join(found, (C.id_key(docs["doc_id"]) == found[bad]) & (F.xxhash64(docs["text"].cast("string")) == found[row]), "left")
     return j.withColumn("text", without(F.col("text").cast("string"), F.col(cuts))).select(*docs.columns)
 
 

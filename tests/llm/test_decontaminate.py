@@ -32,8 +32,11 @@ def test_rows_of_one_id_are_told_apart(spark, rng):
     leak = prose(rng, 20)
     bench = spark.createDataFrame([(1, leak)], ITEMS)
     rows = [(i, t) for i in (None, 4) for t in (f"before {leak}", "clean text", prose(rng, 30))]
-    kept = {(r.doc_id, r.text) for r in D.keep_clean(make(spark, rows), bench).collect()}
-    assert kept == {r for r in rows if leak not in r[1]}
+    for most in (1000, 3):  # by broadcast, and by shuffle
+        kept = {(r.doc_id, r.text) for r in D.keep_clean(make(spark, rows), bench, broadcast_grams=most).collect()}
+        assert kept == {r for r in rows if leak not in r[1]}
+        cut = {(r.doc_id, r.text) for r in D.remove_spans(make(spark, rows), bench, broadcast_grams=most).collect()}
+        assert cut == {(i, t.replace(leak, "")) for i, t in rows}
 
 
 def test_odd_rows(spark, odd, none):
@@ -41,4 +44,5 @@ def test_odd_rows(spark, odd, none):
     assert D.contaminated_spans(odd, bench).count() == 0
     assert D.keep_clean(odd, bench).count() == 12 and D.keep_clean(odd, bench).columns == odd.columns
     assert D.contaminated_spans(none, bench).count() == 0 and D.contaminated_spans(odd, spark.createDataFrame([], ITEMS)).count() == 0
-    assert D.remove_spans(odd, bench).columns == odd.columns
+    cut = D.remove_spans(odd, bench)
+    assert cut.columns == odd.columns and sorted((r.doc_id, r.text) for r in cut.where("doc_id is not null").collect() if r.text) == sorted((r.doc_id, r.text) for r in odd.where("doc_id is not null").collect() if r.text)
