@@ -6,8 +6,9 @@ bitmap arithmetic (carry-save adders on 64-bit words; a negative weight adds the
 significant slice of the sum downward finds the k-th best sum. Rows whose exact score can't reach the k-th best, by the
 Cauchy-Schwarz bound on both quantisation errors, are left out; the others are resolved with float64 products.
 
-Every row is a query against all rows but itself. Scores are rounded to 6 digits; ties go to the least id. The work is rows x rows:
-blocks of queries meet blocks of rows in tasks of a fixed size, and the best of each block are merged.
+Queries are rows of the table, those whose id QUERY_STEP divides in op6, each against all rows but itself. Scores are rounded to 6 digits; ties
+go to the least id. Each block of rows is indexed once, and its index kept as a row of a table in the shared folder; blocks of
+queries meet the indexes in tasks of a fixed size, and the best of each are merged. The work is queries x rows.
 
 Cases: rows with a null id, a null or empty vector, or a null, NaN or infinite element are left out; vectors are compared with those of
 the same dimension only; of rows that repeat an id, the one of least vector counts; fewer than k rows give fewer hits; an empty table gives
@@ -16,6 +17,8 @@ none. Only the id and the vector are read.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 K, BITS, WEIGHT_BITS = 10, 6, 6
-ROW_BLOCK, QUERY_BLOCK = 65536, 4096
+ROW_BLOCK, QUERY_BLOCK, QUERY_STEP = 16384, 1024, 50
 OUT = "id long, hit long, score double"
 
 
@@ -131,42 +134,50 @@ class BitSlicedIndex:
         return i[best], score[best]
 
 
-def top_k(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """id, rank, hit, score: the k rows of largest inner product with each row."""
+def top_k(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK, query_step: int = 1) -> DataFrame:
+    """id, rank, hit, score: the k rows of largest inner product with each row whose id query_step divides."""
     spark = vectors.sparkSession
     C.ship(spark)
     v = F.col(vector_col).cast("array<double>")
     own = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id is not null and size(v) > 0")
     own = own.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     own = C.cut(own.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")))
-    n = own.count()
-    n_rows, n_queries = -(-n // row_block) or 1, -(-n // query_block) or 1
+    asked = own.where(F.col("id") % query_step == 0)
+    n_rows, n_queries = -(-own.count() // row_block) or 1, -(-asked.count() // query_block) or 1
     spread = lambda col, to: F.explode(F.sequence(F.lit(0), F.lit(to - 1))).alias(col)
-    rows = own.select("dim", F.pmod(F.xxhash64("id"), F.lit(n_rows)).cast("int").alias("rb"), spread("qb", n_queries), "id", "v")
-    queries = own.select(F.col("dim").alias("dim_q"), spread("rb_q", n_rows), F.pmod(F.xxhash64("id"), F.lit(n_queries)).cast("int").alias("qb_q"), F.col("id").alias("id_q"), F.col("v").alias("v_q"))
 
-    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(queries):
+    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        blob = pickle.dumps((BitSlicedIndex(np.stack(rows["v"].to_numpy())), rows["id"].to_numpy()), protocol=5)
+        return pd.DataFrame({"dim": [key[0]], "rb": [key[1]], "blob": [blob]})
+
+    rows = own.select("dim", F.pmod(F.xxhash64("id"), F.lit(n_rows)).cast("int").alias("rb"), "id", "v").repartition(n_rows, "dim", "rb")
+    index = C.written(rows.groupBy("dim", "rb").applyInPandas(build, "dim int, rb int, blob binary")).select("dim", "rb", spread("qb", n_queries), "blob")
+    queries = asked.select(F.col("dim").alias("dim_q"), spread("rb_q", n_rows), F.pmod(F.xxhash64("id"), F.lit(n_queries)).cast("int").alias("qb_q"), F.col("id").alias("id_q"), F.col("v").alias("v_q"))
+
+    def run(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if not len(index) or not len(queries):
             return pd.DataFrame({"id": [], "hit": [], "score": []})
-        index, ids = BitSlicedIndex(np.stack(rows["v"].to_numpy())), rows["id"].to_numpy()
+        bits, ids = pickle.loads(index["blob"].iloc[0])
         out = []
         for i, q in zip(queries["id_q"].tolist(), queries["v_q"]):
-            hit, score = index.top(np.asarray(q, np.float64), i, ids, k)
+            hit, score = bits.top(np.asarray(q, np.float64), i, ids, k)
             out.append((np.full(len(hit), i), hit, score))
         return pd.DataFrame({c: np.concatenate([o[j] for o in out]) for j, c in enumerate(("id", "hit", "score"))})
 
-    hits = rows.groupBy("dim", "rb", "qb").cogroup(queries.groupBy("dim_q", "rb_q", "qb_q")).applyInPandas(run, OUT)
+    tasks = n_rows * n_queries
+    left, right = index.repartition(tasks, "dim", "rb", "qb"), queries.repartition(tasks, "dim_q", "rb_q", "qb_q")
+    hits = left.groupBy("dim", "rb", "qb").cogroup(right.groupBy("dim_q", "rb_q", "qb_q")).applyInPandas(run, OUT)
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("score").desc(), "hit"))
     return hits.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("id", "rank", "hit", "score")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(C.table(spark, sf_dir, "embeddings"))
+    return top_k(C.table(spark, sf_dir, "embeddings"), query_step=QUERY_STEP)
 
 
 SQL = f"""
 WITH s AS (SELECT a.vec_id AS id, b.vec_id AS hit, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
-FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id),
+FROM embeddings a, embeddings b WHERE a.vec_id % {QUERY_STEP} = 0 AND a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, hit) AS rank FROM s)
 SELECT CAST(id AS BIGINT) AS id, CAST(rank AS BIGINT) AS rank, CAST(hit AS BIGINT) AS hit, score FROM r WHERE rank <= {K}
 """

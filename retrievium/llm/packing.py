@@ -3,10 +3,12 @@
 Only the histogram of lengths decides a packing, and it has at most `capacity` rows at any input size. The driver plans
 on it: it looks up singles, then pairs, then triples whose lengths sum to exactly the gap a piece leaves, consumes as
 many as the availability counts allow, and places what remains by best fit, longest first. The plan is a list of
-patterns (lengths in a bin, number of such bins); pieces, ranked within their length, find their slot in it.
+patterns (lengths in a bin, number of such bins); pieces, ranked within their length, find their slot in it. A length that very many
+pieces have is ranked in parallel: pieces of one length are spread over as many salts as there are shuffle partitions, whose counts
+are the salts' first ranks.
 
 Cases: a null or empty text has no token and isn't packed; a text longer than the capacity is cut into full pieces and a
-rest; equal lengths are ranked by (doc_id, text hash, piece), so repeated rows get slots of their own; a null doc_id stays
+rest; equal lengths are ranked by (salt, doc_id, text hash, piece), so repeated rows get slots of their own; a null doc_id stays
 null; an empty table gives no rows. Only doc_id and text are read.
 """
 
@@ -28,8 +30,7 @@ OUT = "doc_id long, piece long, start_token long, n_tokens long, bin_id long, bi
 
 def n_words(text: Column) -> Column:
     """Number of runs of characters other than ASCII white space; 0 for null."""
-    t = F.regexp_replace(text, r"^[ \t\n\r\f\x0b]+|[ \t\n\r\f\x0b]+$", "")
-    return F.when(F.length(t) > 0, F.size(F.split(t, r"[ \t\n\r\f\x0b]+"))).otherwise(0).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\n\r\f\x0b]+")), F.lit(0)).cast("long")
 
 
 def plan(hist: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -120,25 +121,34 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start_token, n_tokens, bin_id, bin_offset. No bin holds more than capacity tokens."""
     spark = docs.sparkSession
     C.ship(spark)
+    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lens = C.cut(docs.select(C.id_key().alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("row"), n_words(F.col("text").cast("string")).alias("n")).where("n > 0"))
-    pieces = lens.select("doc_id", "row", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / capacity))).alias("piece")).select(
-        "doc_id", "row", "piece", (F.col("piece") * capacity).alias("start_token"), F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * capacity).alias("n_tokens")
+    # the salt is that of the row's place in the checkpoint, which stays as it is, so that equal rows are spread as well
+    lens = lens.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    pieces = lens.select("doc_id", "row", "salt", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / capacity))).alias("piece")).select(
+        "doc_id", "row", F.pmod(F.col("salt") + F.col("piece"), F.lit(salts)).cast("int").alias("salt"), "piece", (F.col("piece") * capacity).alias("start_token"), F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * capacity).alias("n_tokens")
     )
-    hist = {r["n_tokens"]: r["count"] for r in pieces.groupBy("n_tokens").count().collect()}  # at most `capacity` rows
+    each = {(r["n_tokens"], r["salt"]): r["count"] for r in pieces.groupBy("n_tokens", "salt").count().collect()}  # at most capacity x salts rows
+    hist: dict[int, int] = defaultdict(int)
+    before = np.zeros((capacity + 1, salts), np.int64)
+    for (n, salt), count in sorted(each.items()):
+        before[n, salt] = hist[n]
+        hist[n] += count
     where = runs(plan(hist, capacity))
     key = (where["n"] * (1 << 48) + where["rank0"]).to_numpy()
     tab = {c: where[c].to_numpy() for c in where.columns}
 
     def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            n, r = p["n_tokens"].to_numpy(), p["r"].to_numpy()
+            n = p["n_tokens"].to_numpy()
+            r = p["r"].to_numpy() + before[n, p["salt"].to_numpy()]
             i = np.searchsorted(key, n * (1 << 48) + r, "right") - 1
             r = r - tab["rank0"][i]
             p["bin_id"] = tab["bin0"][i] + r // tab["each"][i]
             p["bin_offset"] = tab["offset0"][i] + r % tab["each"][i] * n
             yield p[["doc_id", "piece", "start_token", "n_tokens", "bin_id", "bin_offset"]]
 
-    ranked = pieces.withColumn("r", (F.row_number().over(Window.partitionBy("n_tokens").orderBy("doc_id", "row", "piece")) - 1).cast("long"))
+    ranked = pieces.withColumn("r", (F.row_number().over(Window.partitionBy("n_tokens", "salt").orderBy("doc_id", "row", "piece")) - 1).cast("long"))
     return ranked.mapInPandas(place, OUT).withColumn("doc_id", C.id_back("doc_id"))
 
 

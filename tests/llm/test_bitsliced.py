@@ -22,6 +22,8 @@ def test_exact(spark, rng):
     for blocks in ({}, {"row_block": 40, "query_block": 30}):
         got = {(r.id, r.rank, r.hit) for r in B.top_k(df, 5, **blocks).collect()}
         assert got == brute(x, 5)
+    few = {(r.id, r.rank, r.hit) for r in B.top_k(df, 5, query_step=50, row_block=40).collect()}
+    assert few == {r for r in brute(x, 5) if r[0] % 50 == 0} and len({r[0] for r in few}) == 4
 
 
 def test_sums_are_sums(rng):
