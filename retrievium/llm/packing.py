@@ -4,7 +4,7 @@ Only the histogram of lengths decides a packing, and it has at most `capacity` r
 on it: it looks up singles, then pairs, then triples whose lengths sum to exactly the gap a piece leaves, consumes as
 many as the availability counts allow, and places what remains by best fit, longest first. The plan is a list of
 patterns (lengths in a bin, number of such bins); pieces, ranked within their length, find their slot in it. A length that very many
-pieces have is ranked in parallel: pieces of one length are spread over as many salts as there are shuffle partitions, whose counts
+pieces have is ranked in parallel: pieces of one length are spread over SALTS salts, whose counts
 are the salts' first ranks.
 
 Cases: a null or empty text has no token and isn't packed; a text longer than the capacity is cut into full pieces and a
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-CAPACITY = 2048
+CAPACITY, SALTS = 2048, 256
 OUT = "doc_id long, piece long, start_token long, n_tokens long, bin_id long, bin_offset long"
 
 
@@ -121,16 +121,15 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start_token, n_tokens, bin_id, bin_offset. No bin holds more than capacity tokens."""
     spark = docs.sparkSession
     C.ship(spark)
-    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lens = C.cut(docs.select(C.id_key().alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("row"), n_words(F.col("text").cast("string")).alias("n")).where("n > 0"))
     # the salt is that of the row's place in the checkpoint, which stays as it is, so that equal rows are spread as well
-    lens = lens.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    lens = lens.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     pieces = lens.select("doc_id", "row", "salt", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / capacity))).alias("piece")).select(
-        "doc_id", "row", F.pmod(F.col("salt") + F.col("piece"), F.lit(salts)).cast("int").alias("salt"), "piece", (F.col("piece") * capacity).alias("start_token"), F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * capacity).alias("n_tokens")
+        "doc_id", "row", F.pmod(F.col("salt") + F.col("piece"), F.lit(SALTS)).cast("int").alias("salt"), "piece", (F.col("piece") * capacity).alias("start_token"), F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * capacity).alias("n_tokens")
     )
-    each = {(r["n_tokens"], r["salt"]): r["count"] for r in pieces.groupBy("n_tokens", "salt").count().collect()}  # at most capacity x salts rows
+    each = {(r["n_tokens"], r["salt"]): r["count"] for r in pieces.groupBy("n_tokens", "salt").count().collect()}  # at most capacity x SALTS rows
     hist: dict[int, int] = defaultdict(int)
-    before = np.zeros((capacity + 1, salts), np.int64)
+    before = np.zeros((capacity + 1, SALTS), np.int64)
     for (n, salt), count in sorted(each.items()):
         before[n, salt] = hist[n]
         hist[n] += count
