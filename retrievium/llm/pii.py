@@ -2,12 +2,13 @@
 
 Kinds are email, phone, ip, card and secret (keys, tokens and passwords with the name they are given to). The training spans come from a seeded
 generator of such strings, and of strings that look like them but aren't (versions, dates, prices, capitals), put into snippets
-of at most TRAIN_ROWS documents; that is the only thing with a bound. Tags are B and I of each kind and O; the CRF allows I only after its own kind.
+of CONTEXT characters of at most TRAIN_ROWS documents, words with digits, `@` or `=` taken out, as they could be such data without a label;
+that is the only thing with a bound, and what is searched isn't bounded. Tags are B and I of each kind and O; the CRF allows I only after its own kind.
 
-A text is covered by windows of WINDOW characters, STRIDE apart. Each is decoded by itself; then a document's spans are
+A text is covered by windows of WINDOW characters, STRIDE apart, all of which are read by the network and decoded. A window whose scores prove that no
+span can beat its being all O (a bound over what any span could gain) is that without the Viterbi search. Then a document's spans are
 reconciled together: pieces of the same kind that a window's edge cut are joined, and of overlapping spans the set of
-greatest total weight (sum of the tags' scores over that of O) is kept, by dynamic programming. A span of any kind holds a digit, `@`, `=` or
-ten capitals in a row, so windows with none of these hold no span and aren't decoded; whole texts are looked through.
+greatest total weight (sum of the tags' scores over that of O) is kept, by dynamic programming.
 
 Cases: a null or empty text has no span; very long texts are more windows, and one document's work stays in one task; equal weights go to
 the span that starts first; repeated rows are reported each; a null doc_id is returned as null; an empty table gives no rows. Only
@@ -16,6 +17,7 @@ doc_id and text are read; `redacted` keeps all columns.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -28,9 +30,10 @@ from . import common as C
 
 KINDS = ("email", "phone", "ip", "card", "secret")
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
-WINDOW, STRIDE, TRAIN_ROWS = 160, 96, 300
-TRIGGER = re.compile(r"[0-9@=]|[A-Z0-9]{10}")
-CHARS, EMBED, HIDDEN = 100, 12, 24
+WINDOW, STRIDE, TRAIN_ROWS, CONTEXT = 320, 272, 300, 400
+DATA = re.compile(r"[0-9@=]|[A-Z0-9]{10}")
+CHARS, EMBED, HIDDEN = 100, 12, 16
+LENGTH = 32  # windows at a text's end are padded by it at least and to a multiple of it, whatever else is decoded with them
 SPANS = "doc_id long, span_start long, span_end long, kind string, value string"
 
 
@@ -67,7 +70,7 @@ def sample_entity(rng: np.random.Generator, kind: str) -> str:
             return f"+{rng.integers(1, 99)} ({d(3)}) {d(3)}-{d(4)}"
         return str(rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+{rng.integers(1, 99)} {d(2)} {d(4)} {d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"+{rng.integers(10, 99)}{d(10)}", f"0{d(3)} {d(6)}"]))
     if kind == "ip":
-        return ".".join(str(rng.integers(0, 256)) for _ in range(4))
+        return ".".join(str(rng.integers(0, 256 if rng.random() < 0.7 else 20)) for _ in range(4))
     if kind == "card":
         sep = "" if way < 0.7 else str(rng.choice([" ", "-"]))
         return sep.join(d(4) for _ in range(4)) if way < 0.9 else str(rng.choice(["34", "37"])) + d(13)
@@ -106,7 +109,7 @@ def examples(snippets: list[str], n: int, seed: int, most: int = WINDOW) -> list
     for _ in range(n):
         own = words[int(rng.integers(len(words)))]
         at, text, spans = int(rng.integers(len(own))), "", []
-        length = most if rng.random() < 0.75 else int(rng.integers(12, most))  # short texts end in nothing
+        length = most if rng.random() < 0.65 else int(np.exp(rng.uniform(np.log(10), np.log(most))))  # short texts end in nothing
         upper, near = rng.random() < 0.12, False
         while len(text) < length:
             u = rng.random()
@@ -139,6 +142,22 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def _fast_tanh(x: np.ndarray, a: np.ndarray, b: np.ndarray, out: np.ndarray) -> None:
+    """tanh to within 0.001 by a Pade quotient, in float32 passes that are several times as fast as np.tanh; a and b are buffers."""
+    np.clip(x, -4, 4, out=out)
+    np.multiply(out, out, out=a)
+    np.multiply(a, 15, out=b)
+    b += 420
+    b *= a
+    b += 945
+    out /= b
+    np.add(a, 105, out=b)
+    b *= a
+    b += 945
+    out *= b
+    np.clip(out, -1, 1, out=out)
+
+
 class Tagger:
     """Parameters: emb; w, u, b of both directions' gates (input, forget, output, new); out, bias; trans (from, to)."""
 
@@ -156,48 +175,81 @@ class Tagger:
 
     def emissions(self, ids: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """(batch, length) ids to (batch, length, TAGS) scores; keep gets what the backward pass needs."""
+        if keep is None:
+            return self._read(ids)
         p, (n, m) = self.p, ids.shape
         both = np.stack([ids.T, ids.T[::-1]], 1)  # (m, 2, n)
         pre = np.matmul(p["emb"], p["w"]) + p["b"]  # gate inputs of each character: (2, CHARS, 4 HIDDEN)
         h, c = np.zeros((2, n, HIDDEN), np.float32), np.zeros((2, n, HIDDEN), np.float32)
-        hs = np.empty((m, 2, n, HIDDEN), np.float32)
+        hs = np.empty((m, 2, n, HIDDEN), p["emb"].dtype)
         steps = []
         side = np.arange(2)[:, None]
         for t in range(m):
             z = pre[side, both[t]] + np.matmul(h, p["u"])
             gates, new = _sigmoid(z[..., : 3 * HIDDEN]), np.tanh(z[..., 3 * HIDDEN :])
             i, f, o = gates[..., :HIDDEN], gates[..., HIDDEN : 2 * HIDDEN], gates[..., 2 * HIDDEN :]
-            if keep is not None:
-                steps.append((i, f, o, new, c, h))
+            steps.append((i, f, o, new, c, h))
             c = f * c + i * new
             h = o * np.tanh(c)
             hs[t] = h
-            if keep is not None:
-                steps[-1] += (c,)
+            steps[-1] += (c,)
         hid = np.concatenate([hs[:, 0], hs[::-1, 1]], -1).transpose(1, 0, 2)  # (n, m, 2 HIDDEN)
-        if keep is not None:
-            keep |= {"both": both, "steps": steps, "hid": hid}
+        keep |= {"both": both, "steps": steps, "hid": hid}
         return hid @ p["out"] + p["bias"]
 
+    def _read(self, ids: np.ndarray) -> np.ndarray:
+        """The same scores, for reading much: buffers are reused, one tanh serves all gates, as sigmoid(x) is (tanh(x / 2) + 1) / 2."""
+        p, (n, m), k = self.p, ids.shape, HIDDEN
+        half = np.repeat(np.array([0.5, 1], np.float32), [3 * k, k])
+        pre = ((np.matmul(p["emb"], p["w"]) + p["b"]) * half).astype(np.float32)
+        u = (p["u"] * half * 0.5).astype(np.float32)  # states are kept as 2 h
+        z, g = np.empty((2, n, 4 * k), np.float32), np.empty((2, n, 4 * k), np.float32)
+        c, t1 = np.zeros((2, n, k), np.float32), np.empty((2, n, k), np.float32)
+        a, b, a1, b1 = np.empty_like(z), np.empty_like(z), np.empty_like(c), np.empty_like(c)
+        hs = np.empty((m + 1, 2, n, k), np.float32)
+        hs[m] = 0
+        for t in range(m):
+            np.matmul(hs[t - 1], u, out=z)
+            for s in range(2):
+                np.take(pre[s], ids[:, m - 1 - t if s else t], axis=0, out=g[s], mode="clip")
+            z += g
+            _fast_tanh(z, a, b, g)
+            z, g = g, z
+            z[..., : 3 * k] += 1
+            c *= z[..., k : 2 * k]
+            np.multiply(z[..., :k], z[..., 3 * k :], out=t1)
+            c += t1
+            c *= 0.5
+            _fast_tanh(c, a1, b1, t1)
+            np.multiply(z[..., 2 * k : 3 * k], t1, out=hs[t])
+        out = (0.5 * p["out"]).astype(np.float32)
+        e = hs[:m, 0] @ out[:k]
+        e += hs[m - 1 :: -1, 1] @ out[k:] if m else 0
+        e += p["bias"]
+        return e.transpose(1, 0, 2)
+
     def gradients(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood of a batch, and its gradients."""
         p, keep, (n, m) = self.p, {}, ids.shape
         e = self.emissions(ids, keep).astype(np.float64)
         trans = (p["trans"] + self.forbidden).astype(np.float64)
-        soft = lambda x, axis: (top := x.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - top).sum(axis))
-        alpha, beta = np.empty((m, n, TAGS)), np.zeros((m, n, TAGS))
-        alpha[0] = e[:, 0] + self.start
-        for t in range(1, m):
-            alpha[t] = soft(alpha[t - 1][:, :, None] + trans, 1) + e[:, t]
+        # forward and backward sums as probabilities, scaled anew at each step
+        w, top = np.exp(trans), e.max(2)
+        x = np.exp(e - top[:, :, None]).transpose(1, 0, 2)
+        alpha, beta, scale = np.empty((m, n, TAGS)), np.ones((m, n, TAGS)), np.empty((m, n, 1))
+        alpha[0] = x[0] * np.exp(self.start)
+        for t in range(m):
+            if t:
+                np.multiply(alpha[t - 1] @ w, x[t], out=alpha[t])
+            scale[t] = alpha[t].sum(1, keepdims=True)
+            alpha[t] /= scale[t]
         for t in range(m - 2, -1, -1):
-            beta[t] = soft(trans + (e[:, t + 1] + beta[t + 1])[:, None, :], 2)
-        z = soft(alpha[-1], 1)
-        de = np.exp(alpha + beta - z[:, None]).transpose(1, 0, 2)
+            beta[t] = (x[t + 1] * beta[t + 1] / scale[t + 1]) @ w.T
+        z = np.log(scale[:, :, 0]).sum(0) + top.sum(1)
+        de = (alpha * beta).transpose(1, 0, 2).copy()
         rows = np.arange(n)[:, None], np.arange(m)[None]
         de[(*rows, tags)] -= 1
-        pair = np.zeros((TAGS, TAGS))
-        for t in range(1, m):
-            pair += np.exp(alpha[t - 1][:, :, None] + trans + (e[:, t] + beta[t] - z[:, None])[:, None, :]).sum(0)
+        pair = w * (alpha[:-1].reshape(-1, TAGS).T @ (x * beta / scale)[1:].reshape(-1, TAGS))
         np.subtract.at(pair, (tags[:, :-1], tags[:, 1:]), 1)
         gold = e[(*rows, tags)].sum() + trans[tags[:, :-1], tags[:, 1:]].sum() + self.start[tags[:, 0]].sum()
         de = (de / n).astype(np.float32)
@@ -231,18 +283,41 @@ class Tagger:
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best tags (batch, length), and each one's score over that of O."""
         e = self.emissions(ids)
-        trans, (n, m) = self.p["trans"] + self.forbidden, ids.shape
+        tags, over = np.zeros(ids.shape, np.int64), np.zeros(ids.shape, np.float32)
+        some = np.flatnonzero(self._may_have_spans(e))
+        if len(some):
+            tags[some] = own = self.viterbi(e := e[some])
+            over[some] = np.take_along_axis(e, own[:, :, None], 2)[:, :, 0] - e[:, :, 0]
+        return tags, over
+
+    def _may_have_spans(self, e: np.ndarray) -> np.ndarray:
+        """False where no path can beat that of O alone: where no span gains anything over O, however it is entered and left."""
+        trans = self.p["trans"] + self.forbidden
+        plain = trans[0, 0]
+        inside = np.array([max(trans[1 + 2 * k, 2 + 2 * k], trans[2 + 2 * k, 2 + 2 * k]) for k in range(len(KINDS))], np.float32)
+        begin = np.ascontiguousarray((e[:, :, 1::2] + (trans[:, 1::2].max(0) - plain) - e[:, :, :1]).transpose(1, 0, 2))
+        more = np.ascontiguousarray((e[:, :, 2::2] + (inside - plain) - e[:, :, :1]).transpose(1, 0, 2))
+        best = gain = begin[0]
+        for t in range(1, len(begin)):  # gain: of the best span of each kind that has come to t
+            gain = np.maximum(begin[t], gain + more[t])
+            best = np.maximum(best, gain)
+        return best.max(1) + max(0.0, float(trans[1:, 0].max() - plain)) > -1e-3
+
+    def viterbi(self, e: np.ndarray) -> np.ndarray:
+        """The tags of the best path of each row of scores."""
+        trans, (n, m) = self.p["trans"] + self.forbidden, e.shape[:2]
         back = np.empty((m, n, TAGS), np.int8)
         best = e[:, 0] + self.start
+        to = np.ascontiguousarray(trans.T)
         for t in range(1, m):
-            x = best[:, :, None] + trans
-            back[t] = x.argmax(1)
-            best = x.max(1) + e[:, t]
+            x = best[:, None, :] + to  # (n, to, from)
+            back[t] = k = x.argmax(2)
+            best = np.take_along_axis(x, k[:, :, None], 2)[:, :, 0] + e[:, t]
         tags = np.empty((n, m), np.int64)
         tags[:, -1] = best.argmax(1)
         for t in range(m - 1, 0, -1):
             tags[:, t - 1] = back[t][np.arange(n), tags[:, t]]
-        return tags, e[np.arange(n)[:, None], np.arange(m)[None], tags] - e[:, :, 0]
+        return tags
 
 
 def _batch(own: list[tuple[str, list[tuple[int, int, str]]]], m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -256,10 +331,15 @@ def _batch(own: list[tuple[str, list[tuple[int, int, str]]]], m: int) -> tuple[n
     return ids, tags
 
 
-def train(snippets: list[str], n: int = 2240, epochs: int = 8, rate: float = 0.012, batch: int = 32, seed: int = 0) -> Tagger:
-    """Adam, with a rate that falls to nothing."""
-    own = examples(snippets, n, seed, 112)
-    ids, tags = _batch(own, 112)
+def train(snippets: list[str], n: int = 3200, epochs: int = 10, rate: float = 0.02, batch: int = 80, seed: int = 0, length: int = 128) -> Tagger:
+    """Adam, with a rate that falls to nothing. A model is trained once a process for the same arguments."""
+    return _train(tuple(snippets), n, epochs, rate, batch, seed, length)
+
+
+@functools.lru_cache(4)
+def _train(snippets: tuple[str, ...], n: int, epochs: int, rate: float, batch: int, seed: int, length: int) -> Tagger:
+    own = examples(list(snippets), n, seed, length)
+    ids, tags = _batch(own, length)
     model, rng = Tagger(seed), np.random.default_rng(seed)
     m1 = {k: np.zeros_like(v) for k, v in model.p.items()}
     m2 = {k: np.zeros_like(v) for k, v in model.p.items()}
@@ -279,12 +359,11 @@ def train(snippets: list[str], n: int = 2240, epochs: int = 8, rate: float = 0.0
     return model
 
 
-def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Tagger:
-    """Train on the generator's spans within snippets of at most train_rows documents, those of least hash of doc_id and text."""
-    t = F.col("text").cast("string")
-    rows = docs.select(t.alias("t"), F.xxhash64(C.id_key(), t).alias("h")).where("t is not null").orderBy("h", F.length("t")).limit(train_rows)
-    got = [r["s"] for r in rows.select(F.substring("t", 1, 400).alias("s")).collect()]  # training contexts, not what is searched
-    return train([" ".join(w for w in s.split() if not TRIGGER.search(w)) for s in got])
+def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, context: int = CONTEXT) -> Tagger:
+    """Train on the generator's spans within the first `context` characters of at most train_rows documents, those of least hash of doc_id and these characters."""
+    cut = docs.select(C.id_key().alias("doc_id"), F.substring(F.col("text").cast("string"), 1, context).alias("s")).where("s is not null")
+    got = [r["s"] for r in C.sampled(cut, train_rows).collect()]
+    return train([" ".join(w for w in s.split() if not DATA.search(w)) for s in got])
 
 
 def reconcile(found: list[tuple[int, int, int, float, bool, bool]]) -> list[tuple[int, int, int]]:
@@ -314,39 +393,31 @@ def reconcile(found: list[tuple[int, int, int, float, bool, bool]]) -> list[tupl
     return out[::-1]
 
 
-def windows(text: str, every: bool = False) -> list[int]:
-    """Starts of the windows to decode: those that hold a trigger, or all."""
-    starts = range(0, max(1, len(text) - (WINDOW - STRIDE)), STRIDE)
-    if every:
-        return list(starts)
-    out, last = [], len(starts) - 1
-    for m in TRIGGER.finditer(text):
-        for k in range(max(0, (m.start() - WINDOW) // STRIDE + 1), min(last, m.start() // STRIDE) + 1):
-            if not out or k > out[-1]:
-                out.append(k)
-    return [k * STRIDE for k in out]
-
-
-def find(model: Tagger, texts: list[str], every: bool = False, batch: int = 256) -> list[list[tuple[int, int, str]]]:
+def find(model: Tagger, texts: list[str], batch: int = 512) -> list[list[tuple[int, int, str]]]:
     """Spans (start, end, kind) of each text."""
-    todo = [(i, s) for i, t in enumerate(texts) for s in windows(t, every)]
+    by_size: dict[int, list[tuple[int, int]]] = {}
+    codes = [char_ids(C.code_points(t)).astype(np.int8) for t in texts]
+    for i, t in enumerate(texts):
+        for s in range(0, max(1, len(t) - (WINDOW - STRIDE)), STRIDE) if t else ():
+            size = len(t) - s
+            by_size.setdefault(WINDOW if size >= WINDOW else (size // LENGTH + 2) * LENGTH, []).append((i, s))
     found: list[list] = [[] for _ in texts]
-    for a in range(0, len(todo), batch):
-        own = todo[a : a + batch]
-        ids = np.zeros((len(own), WINDOW), np.int64)
-        for r, (i, s) in enumerate(own):
-            x = char_ids(C.code_points(texts[i][s : s + WINDOW]))
-            ids[r, : len(x)] = x
-        tags, over = model.decode(ids)
-        for r in np.flatnonzero((tags > 0).any(1)).tolist():
-            i, s = own[r]
-            size = min(WINDOW, len(texts[i]) - s)
-            g = tags[r, :size]
-            for b in np.flatnonzero(g % 2 == 1).tolist():
-                e = b + 1
-                while e < size and g[e] == g[b] + 1:
-                    e += 1
-                if TRIGGER.search(texts[i], s + b, s + e):
+    for width, todo in sorted(by_size.items()):
+        for a in range(0, len(todo), batch):
+            own = todo[a : a + batch]
+            ids = np.zeros((len(own), width), np.int64)
+            for r, (i, s) in enumerate(own):
+                x = codes[i][s : s + WINDOW]
+                ids[r, : len(x)] = x
+            tags, over = model.decode(ids)
+            for r in np.flatnonzero((tags > 0).any(1)).tolist():
+                i, s = own[r]
+                size = min(WINDOW, len(texts[i]) - s)
+                g = tags[r, :size]
+                for b in np.flatnonzero(g % 2 == 1).tolist():
+                    e = b + 1
+                    while e < size and g[e] == g[b] + 1:
+                        e += 1
                     found[i].append((s + b, s + e, int(g[b] - 1) // 2, float(over[r, b:e].sum()), b == 0 and s > 0, e == WINDOW))
     return [[(a, b, KINDS[k]) for a, b, k in reconcile(f)] for f in found]
 
@@ -363,7 +434,7 @@ def personal_spans(docs: DataFrame, model: Tagger) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows, columns=["doc_id", "span_start", "span_end", "kind", "value"])
 
-    own = docs.select(C.id_key().alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(TRIGGER.pattern))
+    own = docs.select(C.id_key().alias("doc_id"), F.col("text").cast("string").alias("text"))
     return own.mapInPandas(run, SPANS).withColumn("doc_id", C.id_back("doc_id"))
 
 
@@ -384,8 +455,7 @@ def redacted(docs: DataFrame, model: Tagger) -> DataFrame:
                     out[at + i] = t
         return pd.Series(out, dtype=object)
 
-    t = F.col("text").cast("string")
-    return docs.withColumn("text", F.when(t.rlike(TRIGGER.pattern), without(t)).otherwise(t))
+    return docs.withColumn("text", without(F.col("text").cast("string")))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

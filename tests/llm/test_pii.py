@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 
@@ -37,10 +39,48 @@ def test_gradients_are_slopes():
         assert abs((up - down) / 2e-3 - g[k][at]) < 1e-3 * max(1, abs(g[k][at]))
 
 
-def test_windows_that_are_skipped_hold_nothing(model):
-    text = " ".join(PLAIN * 20) + " mail me@site.example.com or +1 (555) 123-4567 " + " ".join(PLAIN * 20)
-    few, every = P.find(model, [text, ""]), P.find(model, [text, ""], every=True)
-    assert few == every and [text[a:b] for a, b, _ in few[0]] == ["me@site.example.com", "+1 (555) 123-4567"]
+def test_viterbi_is_the_best_of_all_paths():
+    rng = np.random.default_rng(4)
+    m = P.Tagger(2)
+    m.p["trans"] = rng.normal(0, 1, (P.TAGS, P.TAGS)).astype(np.float32)
+    e = rng.normal(0, 2, (20, 4, P.TAGS)).astype(np.float32)
+    t = m.p["trans"] + m.forbidden
+    paths = np.array(list(itertools.product(range(P.TAGS), repeat=4)))
+    for row, got in zip(e, m.viterbi(e)):
+        score = m.start[paths[:, 0]] + row[np.arange(4), paths].sum(1) + sum(t[paths[:, j], paths[:, j + 1]] for j in range(3))
+        assert (paths[score.argmax()] == got).all()
+
+
+def test_windows_without_search_are_plain(model):
+    """Where the bound says that nothing beats O, the search finds nothing either; and it spares most of plain text."""
+    texts = [t for t, _ in P.examples(PLAIN, 60, 5)] + PLAIN * 3
+    ids = np.zeros((len(texts), P.WINDOW), np.int64)
+    for r, t in enumerate(texts):
+        ids[r, : len(t)] = P.char_ids(P.C.code_points(t))[: P.WINDOW]
+    e = model.emissions(ids)
+    some, tags = model._may_have_spans(e), model.viterbi(e)
+    assert not tags[~some].any() and not some[-6:].all()
+    slow = np.concatenate([model.emissions(ids[r : r + 1], {}) for r in range(len(ids))])
+    assert np.abs(slow - e).max() < 0.2  # the fast tanh
+
+
+def test_long_texts_are_read_whole(model):
+    text = " ".join(PLAIN * 400) + " mail me@site.example.com or +1 (555) 123-4567 " + " ".join(PLAIN * 400) + " ip 192.0.2.14"
+    got = P.find(model, [text, "", "ip 192.0.2.14"])
+    assert [text[a:b] for a, b, _ in got[0]] == ["me@site.example.com", "+1 (555) 123-4567", "192.0.2.14"] and got[1] == [] and got[2] == [(3, 13, "ip")]
+    assert P.find(model, ["ip 192.0.2.14"])[0] == got[2]  # whatever else is decoded with it
+
+
+def test_reconcile_is_the_best_of_all_subsets():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        spans = {}
+        for _ in range(int(rng.integers(0, 7))):
+            a = int(rng.integers(0, 30))
+            spans[(a, a + int(rng.integers(1, 12)), int(rng.integers(0, 5)))] = float(rng.integers(1, 9))
+        got = P.reconcile([(*k, w, False, False) for k, w in spans.items()])
+        best = max(sum(w for k, w in c) for n in range(len(spans) + 1) for c in itertools.combinations(spans.items(), n) if all(x[0][1] <= y[0][0] or y[0][1] <= x[0][0] for x, y in itertools.combinations(c, 2)))
+        assert sum(spans[k] for k in got) == best and all(x[1] <= y[0] for x, y in zip(got, got[1:]))
 
 
 def test_reconcile_joins_and_chooses():
