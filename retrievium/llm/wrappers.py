@@ -2,7 +2,7 @@
 
 A page becomes a stream of tags (name and class) and text slots. The distinct streams of a host are aligned one after the other,
 commonest first, into its wrapper, a regular expression without unions: a run that follows itself in some stream becomes
-a repeated group, wherever else it occurs, and what two streams don't share becomes optional. The place of a text in the wrapper is its slot.
+a repeated group, of any length and wherever else it occurs, and what two streams don't share becomes optional. The place of a text in the wrapper is its slot.
 A slot that all pages of the host have, with the same text, is part of the template and is left out; the others are the page's
 fields. Pages of equal texts count as one here, pages without a text not at all. Slots that hold long texts on the average over the host (CONTENT_SHARE of the longest such average) make up `text`.
 
@@ -16,11 +16,13 @@ dropped; repeated rows get a result each, alike; a null page_id stays null; an e
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,13 +55,55 @@ def stream(page: str | None) -> tuple[list[str], list[str]]:
     return signs, [" ".join(html.unescape(t).split()) for t in texts]
 
 
-class _Part:
-    """A sign, or a repeated group of parts, with the range of signs that it covers."""
-
-    __slots__ = ("key", "body", "runs")
-
-    def __init__(self, key: str, runs: list, body: str | None = None) -> None:
-        self.key, self.body, self.runs = key, body, runs
+def _runs(s: str) -> list[tuple[int, int, int]]:
+    """Maximal repetitions (start, end, period), of any period, at least two bodies long; of one stretch's periods the least.
+
+    Each repetition of period p has two places p apart at a multiple of p. There are n ln n such pairs; how far they agree to both sides
+    is found by bisection over prefix hashes, for all pairs at once.
+    """
+    n = len(s)
+    if n < 2:
+        return []
+    codes = C.code_points(s).astype(np.uint64)
+    pw, inv = C.powers(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(C.mix(codes) * pw[:n], out=total[1:])
+    reps = (n - 1) // np.arange(1, n // 2 + 1)
+    p = np.repeat(np.arange(1, n // 2 + 1), reps)
+    i = (np.arange(len(p)) - np.repeat(np.cumsum(reps) - reps, reps)) * p
+    j = i + p
+    right, left = _agree(total, inv, i, j, n - j, 1), _agree(total, inv, i, j, i, -1)
+    ok = right + left >= p
+    best: dict[tuple[int, int], int] = {}
+    for a, b, q in zip((i - left)[ok].tolist(), (j + right)[ok].tolist(), p[ok].tolist()):
+        best[a, b] = min(q, best.get((a, b), q))
+    return [(a, b, q) for (a, b), q in best.items()]
+
+
+def _agree(total: np.ndarray, inv: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray, way: int) -> np.ndarray:
+    """How many signs from i and j on (way 1), or before them (way -1), are the same, at most `most` of them."""
+    lo, hi = np.zeros(len(i), np.int64), most.copy()
+    while (lo < hi).any():
+        mid = (lo + hi + 1) >> 1
+        a, b = (i, j) if way == 1 else (i - mid, j - mid)
+        same = (total[a + mid] - total[a]) * inv[a] == (total[b + mid] - total[b]) * inv[b]
+        lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
+    return lo
+
+
+def _tandems(s: str) -> list[str]:
+    """Bodies that follow themselves, from left to right without overlaps, at each place the shortest."""
+    heap = [(a, q, b) for a, b, q in _runs(s)]
+    heapq.heapify(heap)
+    out, pos = [], 0
+    while heap:
+        a, q, b = heapq.heappop(heap)
+        if a >= pos:
+            out.append(s[a : a + q])
+            pos = a + (b - a) // q * q
+        elif b - pos >= 2 * q:
+            heapq.heappush(heap, (pos, q, b))
+    return out
 
 
 def _turned(body: str, signs: dict[str, str]) -> str:
@@ -71,39 +115,50 @@ def _turned(body: str, signs: dict[str, str]) -> str:
     return body[opening[0] :] + body[: opening[0]] if opening else body
 
 
-def _fold(streams: list[str], weights: list[int], signs: dict[str, str]) -> tuple[list[str], dict[str, str], list[list]]:
+def _fold(streams: list[str], weights: list[int], signs: dict[str, str]) -> tuple[list[str], dict[str, str]]:
     """Replace repeated runs by group letters, the commonest first, until none is left. Each letter stands for one or more of its body."""
     bodies: dict[str, str] = {}
     now = list(streams)
-    tandem = re.compile(r"(.{1,40}?)\1+", re.S)
+    found: dict[str, set[str]] = {}
     while True:
         votes: Counter[str] = Counter()
         for s, w in zip(now, weights):
-            for b in {_turned(m[1], signs) for m in tandem.finditer(s)}:
+            if s not in found:
+                found[s] = {_turned(b, signs) for b in _tandems(s)}
+            for b in found[s]:
                 votes[b] += w
         if not votes:
-            return now, bodies, []
+            return now, bodies
         best = min(votes, key=lambda b: (-votes[b], len(b), b))
         letter = chr(0xF0000 + len(bodies))
         bodies[letter] = best
         one = re.compile(f"(?:{re.escape(best)})+")
         now = [one.sub(letter, s) for s in now]
+        found = {s: found[s] for s in now if s in found}
 
 
 def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """A longest common subsequence, as index pairs; of equal ones the earliest in a."""
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(m - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if a[i] == b[j] else max(below[j], row[j + 1])
+    """A longest common subsequence, as index pairs; of equal ones the earliest in a.
+
+    Rows of the table are integers of a bit for each of b, of which those not set are the steps of the row, so that 64 places cost one operation.
+    """
+    where: dict[str, int] = {}
+    for j, x in enumerate(reversed(b)):
+        where[x] = where.get(x, 0) | 1 << j
+    mask = (1 << len(b)) - 1
+    rows = [mask]  # rows[-1 - i]: of a[i:]
+    for x in reversed(a):
+        v = rows[-1]
+        u = v & where.get(x, 0)
+        rows.append(((v + u) | (v - u)) & mask)
+    rows.reverse()
+    size = lambda i, j: len(b) - j - (rows[i] & ((1 << (len(b) - j)) - 1)).bit_count()
     out, i, j = [], 0, 0
-    while i < n and j < m:
+    while i < len(a) and j < len(b):
         if a[i] == b[j]:
             out.append((i, j))
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
+        elif size(i + 1, j) >= size(i, j + 1):
             i += 1
         else:
             j += 1
@@ -119,20 +174,16 @@ class Wrapper:
         self.letters = {s: chr(0x100 + k) for k, s in enumerate(sorted({s for x in streams for s in x} | {TEXT}))}
         self.signs = {v: k for k, v in self.letters.items()}
         text = ["".join(self.letters[s] for s in x) for x in streams]
-        folded, self.bodies, _ = _fold([text[i] for i in order], [weights[i] for i in order], self.signs)
+        folded, self.bodies = _fold([text[i] for i in order], [weights[i] for i in order], self.signs)
         self.items: list[str] = list(folded[0]) if folded else []
         self.optional = [False] * len(self.items)
         self.folded = dict(zip(order, folded))
         for s in dict.fromkeys(folded[1:]):
             if s != "".join(self.items):
                 self._align(list(s))
-        self._slots: dict[str, list[int]] = {}
 
     def _align(self, s: list[str]) -> None:
-        if len(set(self.items)) and self.items:
-            pairs = _common(self.items, s)
-        else:
-            pairs = []
+        pairs = _common(self.items, s)
         items: list[str] = []
         optional: list[bool] = []
         i = j = 0

@@ -1,3 +1,5 @@
+import re
+
 from retrievium.llm import wrappers as W
 
 PAGES = "page_id long, url string, html string, host string"
@@ -37,3 +39,50 @@ def test_odd_rows(spark):
     by = {r.page_id: r for r in got}
     assert len(got) == 7 and by[1].text == "" and by[2].text == "" and by[5].text == "yes" and "two < three" in by[None].text
     assert W.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_tandems_and_alignment_equal_brute_force(rng):
+    tandem = re.compile(r"(.+?)\1+", re.S)
+    for _ in range(1500):
+        s = "".join(rng.choice(list("abc"[: rng.integers(1, 4)]), rng.integers(0, 25)))
+        s = s[:5] * 3 + s if rng.random() < 0.3 else s
+        assert W._tandems(s) == [m[1] for m in tandem.finditer(s)]
+
+    def longest(a, b):
+        if not a or not b:
+            return 0
+        return 1 + longest(a[1:], b[1:]) if a[0] == b[0] else max(longest(a[1:], b), longest(a, b[1:]))
+
+    for _ in range(300):
+        a, b = (list(rng.choice(list("abcd"), rng.integers(0, 8))) for _ in range(2))
+        pairs = W._common(a, b)
+        assert len(pairs) == longest(a, b) and all(a[i] == b[j] for i, j in pairs)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+
+
+def test_records_of_any_length_are_one_group(spark):
+    record = "".join(f"<i{k}>{{0}}-{k}</i{k}>" for k in range(40))  # 120 signs
+    html = lambda i: "<h1>Site</h1><div>" + "".join(record.format(f"p{i}r{j}") for j in range(2 + i % 3)) + "</div>"
+    rows = [(i, f"http://a.org/{i}", html(i), "x") for i in range(5)]
+    w = W.Wrapper([W.stream(r[2])[0] for r in rows], [1] * 5)
+    assert w.regex().count("#text") == 41 and w.regex().count(")+") == 1
+    got = {r.page_id: r for r in W.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    for i in range(5):
+        assert [f.text for f in got[i].fields] == [f"p{i}r{j}-{k}" for j in range(2 + i % 3) for k in range(40)]
+        assert [f.slot for f in got[i].fields] == list(range(1, 41)) * (2 + i % 3)
+
+
+def test_wrapper_matches_the_streams_it_came_from(rng):
+    for _ in range(60):
+        rows = ["<u>x</u>" * rng.integers(0, 4), "<p>a<b>c</b></p>" * rng.integers(0, 3), "<li>q</li><hr>" * rng.integers(1, 4)]
+        pages = ["".join(x * (rng.random() < 0.8) for x in rng.permutation(rows)) + "<footer>e</footer>" for _ in range(5)]
+        streams = [list(s) for s in dict.fromkeys(tuple(W.stream(p)[0]) for p in pages)]
+        w = W.Wrapper(streams, [1] * len(streams))
+
+        def shown(x):
+            return "(?:" + "".join(map(shown, w.bodies[x])) + ")+" if x in w.bodies else re.escape(x)
+
+        whole = re.compile("".join(f"(?:{shown(x)})?" if o else shown(x) for x, o in zip(w.items, w.optional)))
+        for i, s in enumerate(streams):
+            assert whole.fullmatch("".join(w.letters[x] for x in s))
+            assert len(w.slots(i, s)) == s.count(W.TEXT)
