@@ -30,7 +30,9 @@ from . import common as C
 
 KINDS = ("email", "phone", "ip", "card", "secret")
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
-WINDOW, STRIDE, TRAIN_ROWS, CONTEXT = 320, 272, 300, 400
+WINDOW, STRIDE, TRAIN_ROWS, CONTEXT = 640, 592, 300, 400
+EXAMPLE = 320  # characters of a training example at most, if no length is asked for
+GROUP_CHARS = 1 << 22  # of texts that are read together
 DATA = re.compile(r"[0-9@=]|[A-Z0-9]{10}")
 CHARS, EMBED, HIDDEN = 100, 12, 16
 LENGTH = 32  # windows at a text's end are padded by it at least and to a multiple of it, whatever else is decoded with them
@@ -101,7 +103,7 @@ TAILS = ("", "", "", "", "", "", ".", ",", "!", ";", ":", "?", ")", "###", "!!",
 PLAIN = "the of und der la de que en ing her menteur les ción thation, erly. Dass. Nous".split()
 
 
-def examples(snippets: list[str], n: int, seed: int, most: int = WINDOW) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def examples(snippets: list[str], n: int, seed: int, most: int = EXAMPLE) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """n windows with their labelled spans (start, end, kind)."""
     rng = np.random.default_rng(seed)
     words = [s.split() for s in snippets if s.split()] or [PLAIN]
@@ -202,14 +204,15 @@ class Tagger:
         c, x, a = np.zeros((2, n, k), np.float32), np.empty((2, n, k), np.float32), np.empty((2, n, k), np.float32)
         hs = np.empty((m + 1, 2, n, k), np.float32)
         hs[m] = 0
-        gates, new = z[..., : 3 * k], z[..., 3 * k :]
+        new = z[..., 3 * k :]
         for t in range(m):
             np.matmul(hs[t - 1], u, out=z)
             for s in range(2):
-                np.take(pre[s], at[m - 1 - t if s else t], axis=0, out=g[s], mode="clip")
+                pre[s].take(at[m - 1 - t if s else t], 0, g[s], "clip")
             z += g
-            np.clip(gates, 0, 1, out=gates)
-            _soft(new, a, x)
+            x[...] = new
+            _soft(x, a, x)
+            z.clip(0, 1, z)  # the gates' part is what counts; whole, it is one run
             c *= z[..., k : 2 * k]
             x *= z[..., :k]
             c += x
@@ -287,13 +290,22 @@ class Tagger:
         trans = self.p["trans"] + self.forbidden
         plain = trans[0, 0]
         inside = np.array([max(trans[1 + 2 * k, 2 + 2 * k], trans[2 + 2 * k, 2 + 2 * k]) for k in range(len(KINDS))], np.float32)
-        begin = np.ascontiguousarray((e[:, :, 1::2] + (trans[:, 1::2].max(0) - plain) - e[:, :, :1]).transpose(1, 0, 2))
-        more = np.ascontiguousarray((e[:, :, 2::2] + (inside - plain) - e[:, :, :1]).transpose(1, 0, 2))
+        x = e.transpose(1, 0, 2)
+        begin = x[:, :, 1::2] - x[:, :, :1] + (trans[:, 1::2].max(0) - plain)
+        more = x[:, :, 2::2] - x[:, :, :1] + (inside - plain)
+        leave = max(0.0, float(trans[1:, 0].max() - plain)) + 1e-3
+        # first by a looser bound: the best beginning and all that any following tag could add
+        some = np.flatnonzero((begin.max(0) + np.maximum(more, 0).sum(0)).max(1) + leave > 0)
+        out = np.zeros(e.shape[0], bool)
+        if not len(some):
+            return out
+        begin, more = begin[:, some], more[:, some]
         best = gain = begin[0]
         for t in range(1, len(begin)):  # gain: of the best span of each kind that has come to t
             gain = np.maximum(begin[t], gain + more[t])
             best = np.maximum(best, gain)
-        return best.max(1) + max(0.0, float(trans[1:, 0].max() - plain)) > -1e-3
+        out[some] = best.max(1) + leave > 0
+        return out
 
     def viterbi(self, e: np.ndarray) -> np.ndarray:
         """The tags of the best path of each row of scores."""
@@ -421,7 +433,7 @@ def personal_spans(docs: DataFrame, model: Tagger) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            for at, texts in C.groups(p["text"]):
+            for at, texts in C.groups(p["text"], GROUP_CHARS):
                 rows = [(p["doc_id"].iloc[at + i], a, b, k, texts[i][a:b]) for i, spans in enumerate(find(shared.value, texts)) for a, b, k in spans]
                 if rows:
                     yield pd.DataFrame(rows, columns=["doc_id", "span_start", "span_end", "kind", "value"])
@@ -438,7 +450,7 @@ def redacted(docs: DataFrame, model: Tagger) -> DataFrame:
     @F.pandas_udf("string")
     def without(text: pd.Series) -> pd.Series:
         out = text.astype(object).to_numpy(copy=True)
-        for at, texts in C.groups(text):
+        for at, texts in C.groups(text, GROUP_CHARS):
             for i, spans in enumerate(find(shared.value, texts)):
                 t = texts[i]
                 for a, b, k in reversed(spans):
