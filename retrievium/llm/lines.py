@@ -1,10 +1,11 @@
 """Line dedup that can be undone: sharded cuckoo filters in front of exact reference-count tables.
 
-A line is known by 128 bits of hash, its leading and trailing white space ignored. Each shard of the hash space holds a
-cuckoo filter of its lines' fingerprints and an exact table hash -> number of references. A line whose fingerprint is
-not in the filter is certainly new and needs no look at the table; any other is settled by the table. Inserting adds a
-reference, deleting takes one away, and the last one takes the fingerprint out of the filter, so that inserting documents
-and deleting them again leaves the state as it was.
+A line is known by 128 bits of hash, its leading and trailing white space ignored. A shard of the hash space has a stored
+cuckoo filter of its lines' fingerprints and the rows of an exact table: hash, number of references. A line whose fingerprint is
+not in the filter is certainly new and isn't looked up in the table; any other is settled by the table. Inserting documents adds
+references, deleting them takes these away, and a line's last one takes its fingerprint out of the filter, so that inserting documents
+and deleting them again leaves the state as it was. References are counted before they are shuffled, so a line that very many documents have
+is one row from each task.
 
 Which line stays: the first by (doc_id, text hash, line number). Blank lines always stay. Cases: a null text stays null;
 a document all of whose lines occur before keeps its row with text ''; rows that repeat a (doc_id, text) get the
@@ -14,16 +15,17 @@ are called. Texts are whole: lines are only hashed where they are, and are never
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from . import common as C
 
 SLOTS, KICKS = 4, 200
+PER_SHARD = 1 << 20  # lines, whose filter takes some 5 MB
+SPACE = " \t\r\f\x0b"
 
 
 class CuckooFilter:
@@ -77,6 +79,24 @@ class CuckooFilter:
             at[first] = self._other(at[first], out)
         return False
 
+    def to_bytes(self) -> bytes:
+        return np.array([self.mask, self.size], np.int64).tobytes() + self.table.tobytes()
+
+    @classmethod
+    def from_bytes(cls, blob: bytes) -> CuckooFilter:
+        out = cls(0)
+        out.mask, out.size = np.frombuffer(blob, np.int64, 2).tolist()
+        out.table = np.frombuffer(blob, np.uint16, offset=16).reshape(-1, SLOTS).copy()
+        return out
+
+    @classmethod
+    def of(cls, h: np.ndarray) -> CuckooFilter:
+        """A filter of these hashes with room for as many again."""
+        size = max(1024, 2 * len(h))
+        while not (out := cls(size)).insert(h):
+            size *= 2
+        return out
+
     def delete(self, h: np.ndarray) -> None:
         """Take out one entry for each hash; each must have been inserted."""
         fp, at = self.fingerprints(h), self._at(h)
@@ -95,56 +115,6 @@ class CuckooFilter:
                 at = self._other(at, fp)
 
 
-class LineShard:
-    """One shard's filter and exact reference counts; keys are pairs of int64."""
-
-    def __init__(self, counts: dict[tuple[int, int], int] | None = None) -> None:
-        self.counts: dict[tuple[int, int], int] = dict(counts or {})
-        self._rebuild()
-
-    def _rebuild(self) -> None:
-        size = max(1024, 2 * len(self.counts))
-        while True:
-            self.filter = CuckooFilter(size)
-            if self.filter.insert(np.fromiter((k[0] for k in self.counts), np.int64, len(self.counts)).view(np.uint64)):
-                return
-            size *= 2
-
-    def insert(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """Add a reference to each line; whether it was there before, earlier lines of the batch included."""
-        maybe = self.filter.contains(h1.view(np.uint64))
-        seen = np.zeros(len(h1), bool)
-        new, counts = [], self.counts
-        first = np.zeros(len(h1), bool)
-        first[np.unique(h1, return_index=True)[1]] = True
-        sure = first & ~maybe  # certainly new
-        for i, (k, is_new) in enumerate(zip(zip(h1.tolist(), h2.tolist()), sure.tolist())):
-            if is_new:
-                counts[k] = 1
-                new.append(i)
-            elif c := counts.get(k):
-                counts[k] = c + 1
-                seen[i] = True
-            else:
-                counts[k] = 1
-                new.append(i)
-        if new and (self.filter.size + len(new) > 0.85 * self.filter.table.size or not self.filter.insert(h1[new].view(np.uint64))):
-            self._rebuild()
-        return seen
-
-    def delete(self, h1: np.ndarray, h2: np.ndarray) -> None:
-        """Take a reference from each line; KeyError if there is none."""
-        gone = []
-        for i, k in enumerate(zip(h1.tolist(), h2.tolist())):
-            if self.counts[k] == 1:
-                del self.counts[k]
-                gone.append(i)
-            else:
-                self.counts[k] -= 1
-        if gone:
-            self.filter.delete(h1[gone].view(np.uint64))
-
-
 def _trimmed(line: Column) -> Column:
     return F.trim(F.regexp_replace(line, r"[\t\r\f\x0b]", " "))
 
@@ -156,46 +126,34 @@ def line_refs(docs: DataFrame) -> DataFrame:
     return own.select("doc_id", "row", "line", F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(7), "x").alias("h2"))
 
 
-def _sharded(refs: DataFrame, shards: int) -> DataFrame:
-    return refs.withColumn("shard", F.pmod(F.col("h2"), F.lit(shards)).cast("int"))
-
-
-def repeats(refs: DataFrame) -> DataFrame:
-    """The references that aren't the first to their line: doc_id, row, line. Each shard is a shuffle partition, read in order."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """h1, h2, the first reference (doc_id, row, line) and n, their number, of each distinct line of docs. A line's references are counted before they move."""
+    first = F.min(F.struct("doc_id", "row", "line")).alias("f")
+    return line_refs(docs).groupBy("h1", "h2").agg(first, F.count("*").alias("n")).select("h1", "h2", "f.doc_id", "f.row", "f.line", "n")
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, last = LineShard(), None
-        for p in parts:
-            k = p[["doc_id", "row", "line"]].to_numpy()
-            again = np.zeros(len(k), bool)  # rows that repeat a (doc_id, text) refer once
-            again[1:] = (k[1:] == k[:-1]).all(1)
-            again[0] = last is not None and (k[0] == last).all()
-            last = k[-1]
-            p = p[~again]
-            seen = shard.insert(p["h1"].to_numpy(), p["h2"].to_numpy())
-            yield p.loc[seen, ["doc_id", "row", "line"]]
 
-    C.ship(refs.sparkSession)
-    n = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return refs.repartition(n, "h2").sortWithinPartitions("doc_id", "row", "line").mapInPandas(run, "doc_id long, row long, line int")
+def with_lines(docs: DataFrame, keeps: DataFrame, count: str | None = None) -> DataFrame:
+    """docs, all columns, with the blank lines and those in keeps (doc_id, row, line) only; count names a column for how many went."""
+    did, rid, kept, parts = (C.fresh(docs, k) for k in ("did", "rid", "kept", "parts"))
+    own = docs.withColumns({did: C.id_key(), rid: F.xxhash64(F.col("text").cast("string"))})
+    per = keeps.groupBy(F.col("doc_id").alias(did), F.col("row").alias(rid)).agg(F.collect_list("line").alias(kept))
+    none = F.array().cast("array<int>")
 
+    def left(lines: Column) -> Column:
+        blank = F.filter(F.transform(lines, lambda x, i: F.when(F.btrim(x, F.lit(SPACE)) == "", i)), lambda i: i.isNotNull())
+        stay = F.array_sort(F.concat(blank, F.coalesce(F.col(kept), none)))
+        return let(stay, lambda s: F.struct(F.array_join(F.transform(s, lambda i: F.get(lines, i)), "\n").alias("text"), (F.size(lines) - F.size(s)).alias("gone")))
 
-def without_lines(docs: DataFrame, drops: DataFrame, count: str | None = None) -> DataFrame:
-    """docs, all columns, without the lines in drops (doc_id, row, line); count names a column for how many went."""
-    names = {k: C.fresh(docs, k) for k in ("did", "rid", "gone")}
-    own = docs.withColumns({names["did"]: C.id_key(), names["rid"]: F.xxhash64(F.col("text").cast("string"))})
-    per = drops.groupBy(F.col("doc_id").alias(names["did"]), F.col("row").alias(names["rid"])).agg(F.collect_list("line").alias(names["gone"]))
-    j = own.join(per, [names["did"], names["rid"]], "left")
-    gone, lines = F.col(names["gone"]), F.split(F.col("text").cast("string"), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    text = F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    out = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return j.select(*out, *([F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(count)] if count else []))
+    text = F.col("text").cast("string")
+    j = own.join(per, [did, rid], "left").withColumn(parts, F.when(text.isNotNull(), let(F.split(text, "\n"), left)))
+    gone = F.coalesce(F.col(f"{parts}.gone"), F.lit(0)).cast("long")
+    out = [F.when(gone > 0, F.col(f"{parts}.text")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return j.select(*out, *([gone.alias(count)] if count else []))
 
 
 def dedup_lines(docs: DataFrame, count: str | None = None) -> DataFrame:
-    """docs with each line only where it first occurs in the whole table."""
-    return without_lines(docs, repeats(line_refs(docs)), count)
+    """docs with each line only where it first occurs in the whole table: what an empty store returns for them."""
+    return LineStore(docs.sparkSession).insert(docs, count)
 
 
 def keep_lines(docs: DataFrame) -> DataFrame:
@@ -208,36 +166,86 @@ def keep_lines(docs: DataFrame) -> DataFrame:
 
 
 class LineStore:
-    """The counts of all lines inserted and not deleted: a DataFrame (h1, h2, refs), in tables in the shared folder.
+    """The lines of all documents inserted and not deleted, in tables of the shared folder: refs (h1, h2, refs) and filters (shard, blob).
 
-    Shards are taken up by workers one at a time, so `shards` must grow with the store: about a million lines each.
+    A shard's filter is stored and follows insertions and deletions; it is made anew from refs only where it is full. There are shards enough for
+    `per_shard` lines in each, so that no task has many more, whatever the size of the store. A row of a document is a reference to each of its lines, repeated
+    rows included. Deleting what wasn't inserted, or more often than it was, is a ValueError, and changes nothing.
     """
 
-    def __init__(self, spark: SparkSession, shards: int = 64) -> None:
+    def __init__(self, spark: SparkSession, per_shard: int = PER_SHARD) -> None:
         C.ship(spark)
-        self.shards = shards
+        self.spark, self.per_shard, self.shards = spark, per_shard, 1
         self.refs = spark.createDataFrame([], "h1 long, h2 long, refs long")
+        self.filters: DataFrame | None = None
 
-    def _add(self, docs: DataFrame, sign: int) -> None:
-        more = line_refs(docs).groupBy("h1", "h2").agg((F.count("*") * sign).alias("refs"))
-        self.refs = C.written(self.refs.unionByName(more).groupBy("h1", "h2").agg(F.sum("refs").alias("refs")).where("refs <> 0"))
+    def _sharded(self, lines: DataFrame) -> DataFrame:
+        return lines.withColumn("shard", F.pmod(F.col("h2"), F.lit(self.shards)).cast("int"))
 
-    def insert(self, docs: DataFrame, count: str | None = None) -> DataFrame:
-        """Add docs; they come back without the lines that the store or an earlier one of them has."""
+    def _built(self, refs: DataFrame) -> DataFrame:
+        """Filters of the shards of refs (h1, shard)."""
+
+        def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"shard": [key[0]], "blob": [CuckooFilter.of(p["h1"].to_numpy().view(np.uint64)).to_bytes()]})
+
+        return refs.groupBy("shard").applyInPandas(run, "shard int, blob binary")
+
+    def _maybe(self, lines: DataFrame) -> DataFrame:
+        """lines with maybe: whether their shard's filter has them. Where it doesn't, the store doesn't either."""
+        columns, schema = lines.columns, lines.withColumn("maybe", F.lit(True)).schema
+
+        def run(f: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+            h = p["h1"].to_numpy().view(np.uint64)
+            return p[columns].assign(maybe=CuckooFilter.from_bytes(f["blob"].iloc[0]).contains(h) if len(f) else np.zeros(len(h), bool))
 
-        def run(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-            shard = LineShard(dict(zip(zip(old["h1"].tolist(), old["h2"].tolist()), old["refs"].tolist())))
-            new = new.sort_values(["doc_id", "row", "line"]).drop_duplicates(["doc_id", "row", "line"])
-            return new.loc[shard.insert(new["h1"].to_numpy(), new["h2"].to_numpy()), ["doc_id", "row", "line"]]
+        return self.filters.groupBy("shard").cogroup(self._sharded(lines).groupBy("shard")).applyInPandas(run, schema)
 
-        pair = _sharded(self.refs, self.shards).groupBy("shard").cogroup(_sharded(line_refs(docs), self.shards).groupBy("shard"))
-        drops = C.written(pair.applyInPandas(run, "doc_id long, row long, line int"))
-        self._add(docs, 1)
-        return without_lines(docs, drops, count)
+    def _follow(self, changes: DataFrame) -> None:
+        """Bring the filters up to changes (h1, h2, more): lines that came (1) or went (-1). refs is up to them already."""
+        total = self.refs.count()
+        if self.filters is None or total > 2 * self.per_shard * self.shards:
+            self.shards = max(1, -(-total // self.per_shard))
+            self.filters = C.written(self._built(self._sharded(self.refs)))
+            return
+
+        def run(f: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+            if not len(p):
+                return f
+            h, more = p["h1"].to_numpy().view(np.uint64), p["more"].to_numpy()
+            own = CuckooFilter.from_bytes(f["blob"].iloc[0]) if len(f) else CuckooFilter()
+            own.delete(h[more < 0])
+            ok = own.size + (more > 0).sum() <= 0.85 * own.table.size and own.insert(h[more > 0])
+            return pd.DataFrame({"shard": p["shard"].iloc[:1], "blob": [own.to_bytes() if ok else None]})
+
+        now = C.written(self.filters.groupBy("shard").cogroup(self._sharded(changes).groupBy("shard")).applyInPandas(run, "shard int, blob binary"))
+        full = now.where("blob is null").select("shard")
+        self.filters = C.written(now.where("blob is not null").unionByName(self._built(self._sharded(self.refs).join(F.broadcast(full), "shard"))))  # a number a shard
+
+    def insert(self, docs: DataFrame, count: str | None = None) -> DataFrame:
+        """Add docs; they come back without the lines that the store or an earlier one of them has."""
+        lines = _lines(docs)
+        if self.filters is None:
+            new = lines = C.written(lines)
+            self.refs = lines.select("h1", "h2", F.col("n").alias("refs"))
+        else:
+            lines = C.written(self._maybe(lines))
+            known = lines.where("maybe").join(self.refs.select("h1", "h2"), ["h1", "h2"], "left_semi").select("h1", "h2")
+            new = C.written(lines.join(known, ["h1", "h2"], "left_anti"))
+            more = lines.select("h1", "h2", F.col("n").alias("refs"))
+            self.refs = C.written(self.refs.unionByName(more).groupBy("h1", "h2").agg(F.sum("refs").alias("refs")))
+        self._follow(new.select("h1", "h2", F.lit(1).alias("more")))
+        return with_lines(docs, new.select("doc_id", "row", "line"), count)
 
     def delete(self, docs: DataFrame) -> None:
         """Take docs, inserted before, out again; lines that no other document refers to become new."""
-        self._add(docs, -1)
+        less = C.written(line_refs(docs).groupBy("h1", "h2").agg(F.count("*").alias("n")).join(self.refs, ["h1", "h2"], "left"))
+        bad = less.where("refs is null or refs < n").count()
+        if bad:
+            raise ValueError(f"{bad} lines have fewer references than are to be deleted")
+        gone = less.where("refs = n").select("h1", "h2", F.lit(-1).alias("more"))
+        now = self.refs.join(less.select("h1", "h2", "n"), ["h1", "h2"], "left").select("h1", "h2", (F.col("refs") - F.coalesce("n", F.lit(0))).alias("refs"))
+        self.refs = C.written(now.where("refs > 0"))
+        self._follow(gone)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -25,17 +26,57 @@ def test_against_brute_force(spark, rng):
     assert sorted((r.doc_id, r.text) for r in L.dedup_lines(make(spark, rows)).collect()) == brute(rows)
 
 
-def test_insert_and_delete_are_inverse(spark, rng):
+def state(store):
+    """The exact table, and the fingerprints of each shard's filter, wherever in their buckets they are."""
+    filters = {r.shard: L.CuckooFilter.from_bytes(bytes(r.blob)) for r in store.filters.collect()}
+    refs = sorted(map(tuple, store.refs.collect()))
+    for h1, h2, n in refs:
+        assert n > 0 and filters[h2 % store.shards].contains(np.array([h1], np.int64).view(np.uint64)).all()
+    return refs, {k: (f.size, sorted(f.table[f.table > 0].tolist())) for k, f in filters.items() if f.size}
+
+
+@pytest.mark.parametrize("per_shard", [8, 1 << 20])  # several shards, which grow; one
+def test_insert_and_delete_are_inverse(spark, rng, per_shard):
     a = [(i, "\n".join(rng.choice([f"l{j}" for j in range(40)], 5))) for i in range(20)]
     b = [(100 + i, "\n".join(rng.choice([f"l{j}" for j in range(60)], 5))) for i in range(20)]
-    store = L.LineStore(spark, 4)
+    store = L.LineStore(spark, per_shard)
     store.insert(make(spark, a))
-    before = sorted(map(tuple, store.refs.collect()))
+    before = state(store)
     first = sorted((r.doc_id, r.text) for r in store.insert(make(spark, b)).collect())
     assert first == [r for r in brute(a + b) if r[0] >= 100]
+    assert sum(n for *_, n in state(store)[0]) == 200
     store.delete(make(spark, b))
-    assert sorted(map(tuple, store.refs.collect())) == before
+    assert state(store) == before
     assert sorted((r.doc_id, r.text) for r in store.insert(make(spark, b)).collect()) == first
+    with pytest.raises(ValueError):
+        store.delete(make(spark, [(1, "never seen")]))
+    now = state(store)
+    with pytest.raises(ValueError):
+        store.delete(make(spark, b + b))
+    assert state(store) == now
+    store.delete(make(spark, a + b))
+    assert state(store) == ([], {})
+    assert [r.text for r in store.insert(make(spark, [(1, "never seen")])).collect()] == ["never seen"]
+
+
+def test_full_filters_are_made_anew(spark):
+    store = L.LineStore(spark)
+    store.insert(make(spark, [(0, "first")]))
+    store.insert(make(spark, [(1, "\n".join(f"line {i}" for i in range(3000)))]))
+    assert len(state(store)[0]) == 3001
+    assert [r.text for r in store.insert(make(spark, [(2, "line 7\nother\nfirst")])).collect()] == ["other"]
+
+
+def test_odd_rows_in_a_store(spark, odd, none):
+    store = L.LineStore(spark)
+    assert store.insert(none).count() == 0
+    store.insert(odd)
+    before = state(store)
+    again = store.insert(odd)
+    assert again.columns == odd.columns and {(r.doc_id, r.text) for r in again.collect()} >= {(None, None), (None, ""), (4, ""), (2, ""), (3, "   \n\t\n ")}
+    store.delete(odd)
+    store.delete(none)
+    assert state(store) == before
 
 
 @settings(max_examples=30, deadline=None)
