@@ -155,3 +155,12 @@ def stable_hash(c: str | Column, n: int) -> Column:
 
 def truncated_percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.floor(100 * part / whole)).otherwise(0).cast("long")
+
+
+def field(fields: Column, key: str, default: str) -> Column:
+    """The value of a key of a map; the default only where the key is missing, so that a null value stays null."""
+    return F.when(F.map_contains_key(fields, key), fields[key]).otherwise(default)
+
+
+def iso_stamp(ts: str | Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")

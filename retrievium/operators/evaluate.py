@@ -16,6 +16,13 @@ def mark_relevant(hits: DataFrame, qrels: DataFrame) -> DataFrame:
     return hits.join(q, ["query_id", "doc_id"], "left").withColumn("rel", F.coalesce("is_rel", F.lit(0))).drop("is_rel")
 
 
+def usable(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows all of whose columns hold text; null, empty and blank ones are left out."""
+    for c in columns:
+        rows = rows.where(F.trim(c) != "")
+    return rows
+
+
 def lists(hits: DataFrame, *keys: str) -> DataFrame:
     """A row for each query: retrieved_ids and relevances in rank order."""
     x = F.array_sort(F.collect_list(F.struct("rank", "doc_id", F.col("rel").cast("int").alias("rel"))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -51,8 +51,30 @@ def column_profile(df: DataFrame, numeric: list[str], other: list[str] = []) ->
     return one.select(F.explode(rows).alias("r")).select("r.column", "r.s.*")
 
 
+def _provenance(text: str, synthetic: str, real: str) -> Column:
+    return F.when(F.col(text).rlike(synthetic), "synthetic").when(F.col(text).rlike(real), "real").otherwise("unknown")
+
+
+def provenance_examples(df: DataFrame, key: str, text: str, name: str, synthetic: str, real: str, n: int = 2) -> DataFrame:
+    """For each key and kind (synthetic, real, unknown): the n least names, in order. Only those leave a task."""
+    own = df.select(key, _provenance(text, synthetic, real).alias("kind"), name)
+    nth = F.row_number().over(Window.partitionBy(key, "kind").orderBy(name))
+    return own.withColumn("nth_", nth).where(F.col("nth_") <= n).groupBy(key, "kind").agg(F.array_sort(F.collect_list(name)).alias("examples"))
+
+
+def distributions(df: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """key, metric, n and the statistics with percentiles of each of the named columns, in one pass."""
+    own = df.select(key, *[F.col(c).cast("double").alias(c) for c in names]).unpivot([key], names, "metric", "v_")
+    return own.groupBy(key, "metric").agg(F.count("*").alias("n"), *stats(F.col("v_"), percentiles=True))
+
+
+def placed(groups: DataFrame, by: str, key: str) -> DataFrame:
+    """groups (a few rows, one a group) with place: 1 for the greatest by; ties by key."""
+    return groups.withColumn("place", F.row_number().over(Window.orderBy(F.col(by).desc(), key)).cast("long"))
+
+
 def provenance(df: DataFrame, key: str, text: str, synthetic: str, real: str) -> DataFrame:
     """For each key: rows that look synthetic, real or neither (regular expressions, the first wins), and the truncated percentage of synthetic ones."""
-    kind = F.when(F.col(text).rlike(synthetic), "s").when(F.col(text).rlike(real), "r").otherwise("u")
-    n = df.groupBy(key).agg(F.count("*").alias("total"), *[F.count_if(kind == k).alias(name) for k, name in (("s", "synthetic"), ("r", "real"), ("u", "unknown"))])
+    kind = _provenance(text, synthetic, real)
+    n = df.groupBy(key).agg(F.count("*").alias("total"), *[F.count_if(kind == k).alias(name) for k, name in ((x, x) for x in ("synthetic", "real", "unknown"))])
     return n.withColumn("percent_synthetic", F.floor(100 * F.col("synthetic") / F.col("total")).cast("long"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -165,3 +168,24 @@ def record_query(title: Column, content: Column, source: Column, index: Column)
     pick = lambda s: F.element_at(T.literals(RECORD_TEMPLATES[s]), (F.pmod(index, F.lit(len(RECORD_TEMPLATES[s]))) + 1).cast("int"))
     tpl = F.when(source == "recipes-ro", pick("recipes-ro")).when(source == "news", pick("news")).when(source == "commoncrawl", pick("commoncrawl")).otherwise(pick("default"))
     return F.when(t == "", NO_TITLE).otherwise(fill(tpl, t))
+
+
+def generated_by(docs: DataFrame, load: Callable[[], Callable[[object, str, str], str]], template: Column) -> DataFrame:
+    """doc_id, query, fell_back. load is called once a worker and returns a function from (doc_id, title, body) to a query; where it raises or has no text, the template stands in."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        make = load()
+
+        def one(*x: object) -> str | None:
+            try:
+                return (make(*x) or "").strip() or None
+            except Exception:  # a remote model may fail in any way
+                return None
+
+        for p in parts:
+            made = pd.Series([one(*x) for x in zip(p["doc_id"], p["title"], p["body"])], dtype=object)
+            yield pd.DataFrame({"doc_id": p["doc_id"], "query": made.where(made.notna(), p["t_"]), "fell_back": made.isna()})
+
+    own = docs.select("doc_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "body")], template.alias("t_"))
+    return own.mapInPandas(run, f"doc_id {kind}, query string, fell_back boolean")

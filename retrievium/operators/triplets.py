@@ -31,10 +31,11 @@ def with_texts(triplets: DataFrame, corpus: DataFrame) -> DataFrame:
     return triplets
 
 
-def grouped(triplets: DataFrame, *carry: str) -> DataFrame:
-    """A row for each query: negative_doc_ids in rank order."""
+def grouped(triplets: DataFrame, *carry: str, metrics: dict[str, Column] | None = None) -> DataFrame:
+    """A row for each query: negative_doc_ids in rank order, and with metrics (aggregates by name) a map of them."""
     x = F.array_sort(F.collect_list(F.struct("negative_rank", "negative_doc_id")))
-    return triplets.groupBy("query_id", "positive_doc_id", *carry).agg(x["negative_doc_id"].alias("negative_doc_ids"))
+    own = [F.map_from_arrays(F.array(*map(F.lit, metrics)), F.array(*metrics.values())).alias("metrics")] if metrics else []
+    return triplets.groupBy("query_id", "positive_doc_id", *carry).agg(x["negative_doc_id"].alias("negative_doc_ids"), *own)
 
 
 def hard_negatives(similar: DataFrame, n: int = 5, min_sim: float = 0.5) -> DataFrame:

@@ -12,11 +12,12 @@ from ..functions import vectors as V
 from ..operators import concepts, evaluate, marco, profile, querygen, retrieve, splits, triplets
 from ..sources import connectors
 from . import adapters as A
+from . import roundtrips
 from .oracle import SQL as _SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = _SQL
+QUERIES: dict[str, Query] = dict(roundtrips.QUERIES)
+SQL: dict[str, str] = _SQL | roundtrips.SQL
 HALF = slice(0, 32)
 
 

@@ -58,9 +58,17 @@ def outlet(raw: DataFrame, name: str, order: str, limit: int | None = None) -> D
     return numbered(one, order, name).drop(order)
 
 
-def outlets(spark: SparkSession, paths: dict[str, str], schema: str, order: str, limit: int | None = None) -> DataFrame:
-    """All outlets in one table; each is read from its JSON file."""
-    return combine(*[outlet(jsonl.read_whole(spark, p, schema), name, order, limit) for name, p in paths.items()])
+def outlets(spark: SparkSession, paths: dict[str, str], schema: str, order: str, limit: int | None = None, rename: dict[str, str] | None = None, lines: bool = False) -> DataFrame:
+    """All outlets in one table; each is read from its JSON file (or lines). Files that aren't there are left out, and so is what isn't JSON in the others."""
+    parts = []
+    for name, at in paths.items():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            raw = jsonl.read_tolerant(spark, at, schema) if lines else jsonl.read_whole(spark, at, schema, tolerant=True)
+            parts.append(outlet(raw.withColumnsRenamed(rename or {}), name, order, limit))
+    if not parts:
+        raise FileNotFoundError(f"none of {list(paths.values())}")
+    return combine(*parts)
 
 
 def miracl_corpus(raw: DataFrame, language: str = "ro") -> DataFrame:

@@ -31,9 +31,9 @@ def read_with_errors(spark: SparkSession, path: str | list[str], schema: str | S
     return spark.read.schema(s).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).json(path)
 
 
-def read_whole(spark: SparkSession, path: str | list[str], schema: str | StructType | None = None) -> DataFrame:
-    """A file is one JSON object or an array of them."""
-    r = spark.read.option("multiLine", True)
+def read_whole(spark: SparkSession, path: str | list[str], schema: str | StructType | None = None, tolerant: bool = False) -> DataFrame:
+    """A file is one JSON object or an array of them; with tolerant, a file that isn't JSON has no rows."""
+    r = spark.read.option("multiLine", True).option("mode", "DROPMALFORMED" if tolerant else "PERMISSIVE")
     return (r.schema(_schema(schema)) if schema else r).json(path)
 
 
@@ -50,10 +50,10 @@ def write_by_category(df: DataFrame, path: str, column: str = "category") -> Non
     df.write.mode("overwrite").partitionBy(column).json(path)
 
 
-def read_categories(spark: SparkSession, root: str, schema: str | StructType, category: str | None = None, skip_combined: bool = True) -> DataFrame:
-    """All *.jsonl files of root/<category>, or of one, with `category` and `file`; what an earlier combination wrote is left out."""
-    own = spark.read.schema(_schema(schema)).option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.jsonl").json(f"{root}/{category or '*'}")
-    own = own.withColumn("file", F.col("_metadata.file_path")).withColumn("category", F.element_at(F.split("file", "/"), -2))
+def read_categories(spark: SparkSession, root: str, schema: str | StructType, category: str | None = None, skip_combined: bool = True, pattern: str = "*.jsonl") -> DataFrame:
+    """All files of the pattern in root/<category> (or root/category=<category>, as write_by_category has it), or of one, with `category` and `file`; what an earlier combination wrote is left out."""
+    own = spark.read.schema(_schema(schema)).option("mode", "DROPMALFORMED").option("pathGlobFilter", pattern).json(f"{root}/{category or '*'}")
+    own = own.withColumn("file", F.col("_metadata.file_path")).withColumn("category", F.regexp_replace(F.element_at(F.split("file", "/"), -2), "^category=", ""))
     return own.where(~F.col("file").endswith("_combined.jsonl")) if skip_combined else own
 
 

@@ -1,13 +1,36 @@
-"""The folder that all executors share, and tables in it that cut a plan's lineage."""
+"""The folder that all executors share, tables in it that cut a plan's lineage, and this package's code on the executors."""
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that they need no installed copy."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    at = os.path.join(tempfile.mkdtemp(), "retrievium_code.zip")  # read by the driver alone, which serves it
+    Path(at).write_bytes(buf.getvalue())
+    sc.addPyFile(at)
+    _shipped.add(sc.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir. Where it is unset, a local master gets a temporary folder (tests); on a cluster that is an error."""
     sc = spark.sparkContext
