@@ -1,4 +1,4 @@
-"""What the training-data operators share: shipping code, cutting lineage, ids, and a vectorised tokenizer.
+"""What the training-data operators share: cutting lineage, ids, samples, and a vectorised tokenizer.
 
 Tokens are maximal runs of letters and digits, lower-cased one code point at a time. A token is known by a 64-bit
 polynomial hash. Where only that, or less of it, is compared, the operator's docstring says so; decontamination compares words.
@@ -7,39 +7,17 @@ polynomial hash. Where only that, or less of it, is compared, the operator's doc
 from __future__ import annotations
 
 import functools
-import io
-import os
-import tempfile
-import zipfile
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import cut, remove, scratch, shared_dir, written  # noqa: F401
+from ..storage import cut, remove, scratch, shared_dir, ship, written  # noqa: F401
 
 NO_ID = -(2**63)  # stands for a null doc_id while rows are compared; never returned
 CHUNK_CHARS = 1 << 20  # texts are tokenized in groups of about this size, which bounds a worker's memory
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that they need no installed copy."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(p.relative_to(root.parent)))
-    at = os.path.join(tempfile.mkdtemp(), "retrievium_code.zip")  # read by the driver alone, which serves it
-    Path(at).write_bytes(buf.getvalue())
-    sc.addPyFile(at)
-    _shipped.add(sc.applicationId)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

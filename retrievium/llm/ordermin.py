@@ -29,11 +29,12 @@ from pyspark.sql import functions as F
 from . import common as C
 from .components import components
 
-K, ELLS, SKETCHES, THRESHOLD = 3, 2, 16, 0.8
+K, ELLS, SKETCHES, THRESHOLD = 3, 2, 24, 0.8
 HIST = 128
 LEADER_ROUNDS = 2
 TILE = 4096
 BROADCAST_NODES = 1_000_000
+TASK_PAIRS = 1024  # alignments of a task, about
 
 
 def sketches(tok: C.Tokens, k: int = K, n_sketches: int = SKETCHES) -> np.ndarray:
@@ -235,6 +236,9 @@ def _verified(pairs: DataFrame, tokens: DataFrame, threshold: float) -> DataFram
     right = right.select(F.col("a").alias("a_of"), F.pmod(F.xxhash64("b"), F.col("parts")).alias("slot_of"), "b", F.col("other").alias("other"))
     left = tokens.select(F.col("node").alias("x"), F.col("tok").alias("mine")).join(parts.select(F.col("a").alias("x"), F.col("parts").alias("n_parts")), "x")
     left = left.select("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1)).alias("slot"), "mine")
+    # by number, as alignments are much work for few bytes, by which tasks would else be put together
+    tasks = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // TASK_PAIRS))
+    left, right = left.repartition(tasks, "x", "slot"), right.repartition(tasks, "a_of", "slot_of")
     return left.groupBy("x", "slot").cogroup(right.groupBy("a_of", "slot_of")).applyInPandas(run, "a binary, b binary")
 
 
