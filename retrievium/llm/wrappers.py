@@ -31,7 +31,9 @@ from . import common as C
 
 CONTENT_SHARE = 0.25
 BROADCAST_ROWS = 200_000  # layouts or hosts, some 500 bytes each, that are sent to the pages; more are joined by a shuffle
+SHORT = 1024  # signs; up to there a plain search, which is quadratic, is the faster one
 TEXT = "#"
+_TANDEM = re.compile(r"(.+?)\1+", re.S)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)?)/?>|[^<]+|<", re.S | re.I)
 _CLASS = re.compile(r"""\sclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
@@ -92,7 +94,9 @@ def _agree(total: np.ndarray, inv: np.ndarray, i: np.ndarray, j: np.ndarray, mos
 
 
 def _tandems(s: str) -> list[str]:
-    """Bodies that follow themselves, from left to right without overlaps, at each place the shortest."""
+    """Bodies that follow themselves, from left to right without overlaps, at each place the shortest. Short streams are matched plainly, with the same result."""
+    if len(s) <= SHORT:
+        return [m[1] for m in _TANDEM.finditer(s)]
     heap = [(a, q, b) for a, b, q in _runs(s)]
     heapq.heapify(heap)
     out, pos = [], 0
@@ -304,7 +308,9 @@ def wrappers(layouts: DataFrame) -> DataFrame:
         shown = w.regex()
         return pd.DataFrame({"host": key[0], "signs": p["signs"], "slots": [w.slots(i, s) for i, s in enumerate(own)], "wrapper": shown})
 
-    return layouts.groupBy("host").applyInPandas(run, "host string, signs string, slots array<int>, wrapper string")
+    # by number: hosts are few bytes and much work, and would else be put together in few tasks
+    n = int(layouts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return layouts.repartition(n, "host").groupBy("host").applyInPandas(run, "host string, signs string, slots array<int>, wrapper string")
 
 
 def _checked(df: DataFrame, most: int) -> DataFrame:
