@@ -10,7 +10,8 @@ Equal token sequences are one node from the start. In each bucket (nodes that sh
 least, its leader; nodes of other components elect the next leader, LEADER_ROUNDS times. Then all members of a bucket,
 linked ones included, are compared pair by pair where their components still differ, so that no bucket size is cut off and
 no candidate pair is left out but for those that components already join. Before tokens are moved, pairs whose lengths or
-token histograms already prove a distance beyond the threshold are dropped, which loses none.
+token histograms already prove a distance beyond the threshold are dropped, which loses none. So are, before a band is widened, pairs
+whose tokens or runs of three tokens prove it.
 
 Cases: null, empty and signs-only texts have no tokens and are in no group; a text shorter than k tokens is one k-mer;
 repeated rows are exact copies of each other and in one group; null doc_ids take part and are returned as null; ties are settled by
@@ -35,6 +36,7 @@ LEADER_ROUNDS = 2
 TILE = 4096
 BROADCAST_NODES = 1_000_000
 TASK_PAIRS = 1024  # alignments of a task, about
+COMPARED = 1 << 14  # pairs of histograms at a time
 
 
 def sketches(tok: C.Tokens, k: int = K, n_sketches: int = SKETCHES) -> np.ndarray:
@@ -101,7 +103,8 @@ def distance(x: np.ndarray, y: np.ndarray, limit: int) -> int:
     n -= head
     differ = np.flatnonzero(x[len(x) - n :][::-1] != y[len(y) - n :][::-1])
     tail = int(differ[0]) if len(differ) else n
-    x, y = x[: len(x) - tail].tolist(), y[: len(y) - tail].tolist()
+    own, other = x[: len(x) - tail], y[: len(y) - tail]
+    x, y = own.tolist(), other.tolist()
     if not x or not y:
         return max(len(x), len(y))
     band = 24
@@ -109,11 +112,30 @@ def distance(x: np.ndarray, y: np.ndarray, limit: int) -> int:
         k = min(band, limit)
         if abs(len(x) - len(y)) <= k and (d := _band(x, y, k)) <= k:
             return d
-        if k == limit:
+        if k == limit or band == 24 and _apart(own, other, limit):
             return -1
         band *= 4
 
 
+def _apart(x: np.ndarray, y: np.ndarray, limit: int) -> bool:
+    """Whether tokens or runs of three prove a distance beyond limit: an edit takes at most q runs of q tokens from either text."""
+    for q in (1, 3):
+        g = [_runs(t.astype(np.uint64), q) for t in (x, y)]
+        kinds, at = np.unique(np.concatenate(g), return_inverse=True)
+        more = np.bincount(at[: len(g[0])], minlength=len(kinds)) - np.bincount(at[len(g[0]) :], minlength=len(kinds))
+        if max(more.clip(0).sum(), (-more).clip(0).sum()) > q * limit:
+            return True
+    return False
+
+
+def _runs(t: np.ndarray, q: int) -> np.ndarray:
+    """A hash of each run of q tokens; where two are equal by chance, the texts only seem nearer."""
+    out = t[: max(0, len(t) - q + 1)]
+    for j in range(1, q):
+        out = C.mix(out) + t[j : len(t) - q + 1 + j]
+    return out
+
+
 def _band(x: list[int], y: list[int], k: int) -> int:
     """Edit distance by bit-parallel dynamic programming on the band |i - j| <= k; exact where at most k, else above it.
 
@@ -183,6 +205,47 @@ def _possible(pairs: DataFrame, threshold: float) -> DataFrame:
     return near.mapInPandas(run, "a binary, b binary")
 
 
+def _met(p: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Pairs (a, b) of p (key, x, y, node, label, part, n, hist) that may be near: of one key and tile, with different labels and, where x <> y, parts.
+
+    Of a tile's most frequent label no two members can be a pair, so only the others are gone through, each against all members of a
+    length near its own: a large group that shares its key with a few strangers costs in proportion to its size. All tiles are gone
+    through together, as most have a few members.
+    """
+    p = p.iloc[np.lexsort([p[c].to_numpy() for c in ("n", "y", "x", "key")])]
+    n, part, inner = p["n"].to_numpy(), p["part"].to_numpy(), p["x"].to_numpy() == p["y"].to_numpy()
+    tile = np.cumsum(np.append(False, np.logical_or.reduce([p[c].to_numpy()[1:] != p[c].to_numpy()[:-1] for c in ("key", "x", "y")])))
+    label, kinds = pd.factorize(p["label"])
+    both, times = np.unique(tile * len(kinds) + label, return_counts=True)
+    order = np.lexsort((times, both // len(kinds)))
+    last = np.flatnonzero(np.append(np.diff(both[order] // len(kinds)) > 0, True))
+    most = (both[order] % len(kinds))[last][tile]
+    h = np.frombuffer(b"".join(p["hist"]), np.uint16).reshape(-1, HIST)
+    size = h.sum(1, dtype=np.int64)
+    # longer ones are too far by their length alone
+    upto = np.searchsorted(tile * (1 << 40) + n, tile * (1 << 40) + np.floor(n / (1 - threshold) + 1e-6).astype(np.int64), "right")
+    since = np.searchsorted(upto, np.arange(len(n)), "right")
+    few = np.flatnonzero(label != most)
+    left, right = [few[:0]], [few[:0]]
+    work = np.cumsum((upto - since)[few])
+    for few_of in np.split(few, np.flatnonzero(np.diff(work // COMPARED)) + 1):
+        times = (upto - since)[few_of]
+        i = np.repeat(few_of, times)
+        j = since[i] + np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
+        ok = (label[j] == most[i]) | (j > i) & (label[j] != label[i])
+        ok &= inner[i] | (part[j] != part[i])
+        i, j = i[ok], j[ok]
+        longer = np.maximum(n[i], n[j])
+        apart = np.concatenate([np.abs(h[i[c : c + COMPARED]].astype(np.int32) - h[j[c : c + COMPARED]]).sum(1) for c in range(0, len(i) + 1, COMPARED)])
+        ok = ((apart + np.abs(size[j] - size[i])) / 2 <= (1 - threshold) * longer + 1e-9) | (longer > 65535)
+        left.append(i[ok])
+        right.append(j[ok])
+    node = p["node"].to_numpy()
+    x, y = node[np.concatenate(left)], node[np.concatenate(right)]
+    less = np.array([a < b for a, b in zip(x, y)], bool)
+    return pd.DataFrame({"a": np.where(less, x, y), "b": np.where(less, y, x)}, dtype=object)
+
+
 def _within(own: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) with one key and different labels in own (key, node, label, n, hist) that lengths and histograms don't rule out.
 
@@ -190,31 +253,15 @@ def _within(own: DataFrame, threshold: float) -> DataFrame:
     tiles, each of which two parts of its members meet in.
     """
 
-    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["n", "node"], ignore_index=True)
-        n, part, inner = p["n"].to_numpy(), p["part"].to_numpy(), key[1] == key[2]
-        label = pd.factorize(p["label"])[0]
-        h = np.frombuffer(b"".join(p["hist"]), np.uint16).reshape(-1, HIST).astype(np.int32)
-        upto = np.searchsorted(n, n / (1 - threshold) + 1e-6, "right")  # longer ones are too far by their length alone
-        left, right = [], []
-        for i in range(len(n)):
-            j = np.arange(i + 1, upto[i])
-            j = j[label[j] != label[i]]
-            if not inner:
-                j = j[part[j] != part[i]]
-            if len(j):
-                d = h[j] - h[i]
-                far = np.maximum(d.clip(0).sum(1), (-d).clip(0).sum(1)) > (1 - threshold) * n[j] + 1e-9
-                j = j[~far | (n[j] > 65535)]
-                left += [i] * len(j)
-                right += j.tolist()
-        x, y = p["node"].to_numpy()[left], p["node"].to_numpy()[right]
-        less = np.array([a < b for a, b in zip(x, y)], bool)
-        return pd.DataFrame({"a": np.where(less, x, y), "b": np.where(less, y, x)}, dtype=object)
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if own := [p for p in parts if len(p)]:
+            yield _met(pd.concat(own, ignore_index=True), threshold)
 
     parts = own.withColumn("parts", F.ceil(F.count("*").over(Window.partitionBy("key")) / TILE)).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     tiles = parts.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("key", F.least("part", "t").alias("x"), F.greatest("part", "t").alias("y"), "part", "node", "label", "n", "hist")
-    return tiles.groupBy("key", "x", "y").applyInPandas(run, "a binary, b binary").distinct()
+    # by number, as comparisons are much work for few bytes
+    tiles = tiles.repartition(max(12, int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4), "key", "x", "y")
+    return tiles.mapInPandas(run, "a binary, b binary").distinct()
 
 
 def _verified(pairs: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
@@ -237,7 +284,8 @@ def _verified(pairs: DataFrame, tokens: DataFrame, threshold: float) -> DataFram
     left = tokens.select(F.col("node").alias("x"), F.col("tok").alias("mine")).join(parts.select(F.col("a").alias("x"), F.col("parts").alias("n_parts")), "x")
     left = left.select("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1)).alias("slot"), "mine")
     # by number, as alignments are much work for few bytes, by which tasks would else be put together
-    tasks = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // TASK_PAIRS))
+    n, most = pairs.count(), int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, -(-n // TASK_PAIRS), min(most, -(-n * 8 // TASK_PAIRS)))  # a task of a few pairs is mostly its start
     left, right = left.repartition(tasks, "x", "slot"), right.repartition(tasks, "a_of", "slot_of")
     return left.groupBy("x", "slot").cogroup(right.groupBy("a_of", "slot_of")).applyInPandas(run, "a binary, b binary")
 

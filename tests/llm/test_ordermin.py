@@ -122,3 +122,41 @@ def test_pairs_near_the_threshold_share_a_sketch(rng):
             s = O.sketches(O.C.tokenize([" ".join(a), " ".join(b)]))
             hit += (s[0] == s[1]).any()
         assert hit >= least * 150, (similarity, hit)
+
+
+def test_pairs_far_apart_are_told_before_the_band_widens(rng, monkeypatch):
+    a = rng.integers(0, 1 << 30, 400)
+    b, c = a.copy(), a.copy()
+    b[100:190] = rng.integers(0, 1 << 30, 90)  # 22 %
+    c[rng.choice(400, 70, replace=False)] = 5
+    turned = np.concatenate([a[:100], np.concatenate([a[q : q + 2] for q in range(298, 98, -2)]), a[300:]])  # the same tokens in another order
+    bands, band = [], O._band
+    monkeypatch.setattr(O, "_band", lambda x, y, k: bands.append(k) or band(x, y, k))
+    assert O.distance(a, b, 80) == O.distance(a, turned, 60) == -1 and bands == [24, 24]
+    assert O.distance(a, c, 80) == 70
+    for _ in range(60):
+        few = rng.integers(0, int(rng.choice([3, 30, 1000])), 150)
+        other = few.tolist()
+        for _ in range(int(rng.integers(20, 60))):
+            at = int(rng.integers(0, len(other)))
+            other[at : at + int(rng.integers(0, 2))] = rng.integers(0, 1000, int(rng.integers(0, 2))).tolist()
+        want = edit_distance(few.tolist(), other)
+        assert O.distance(few, np.array(other), 40) == (want if want <= 40 else -1)
+
+
+def test_strangers_in_a_large_group_meet_all_of_it_once(rng):
+    """Of pairs that may be near, those of one tile with different labels, and no others, are found; large tiles of one label cost little."""
+    rows = []
+    for key in range(40):
+        for m in range(int(rng.integers(2, 30))):
+            tokens = rng.integers(0, 40, n := int(rng.integers(20, 40)))
+            rows.append((key, 0, key % 3 and 1, bytes([key, m]), bytes([int(rng.choice([0, 0, 0, 1, 2]))]), int(rng.integers(2)) if key % 3 else 0, n, np.bincount(tokens, minlength=O.HIST).astype(np.uint16)))
+    p = O.pd.DataFrame([(*r[:-1], r[-1].tobytes()) for r in rows], columns=["key", "x", "y", "node", "label", "part", "n", "hist"])
+    want = set()
+    for i, a in enumerate(rows):
+        for b in rows[:i]:
+            d, most = a[-1].astype(int) - b[-1], 0.5 * max(a[6], b[6])
+            if a[0] == b[0] and a[4] != b[4] and (a[1] == a[2] or a[5] != b[5]) and max(d.clip(0).sum(), (-d).clip(0).sum()) <= most:
+                want.add((min(a[3], b[3]), max(a[3], b[3])))
+    got = [tuple(r) for r in O._met(p.sample(frac=1, random_state=1), 0.5).itertuples(index=False)]
+    assert len(want) > 100 and sorted(got) == sorted(want)
