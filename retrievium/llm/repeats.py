@@ -5,7 +5,8 @@ the first one of least hash is its anchor, so equal windows have equal anchors,
 anchor that could hold such a window is a piece. Places of anchors are shuffled once, by anchor, as a few numbers each. A piece that two
 documents share is repeated as a whole; a piece of one document, whose anchor other documents have too, must be searched, and
 with it one copy of each other piece of that anchor. Only the searched pieces' tokens move, to shards of SHARD symbols, as many as it takes.
-A shard is sorted by external induced sorting (see suffixes). The anchor, which all its pieces hold, is one symbol there, and the tokens around it are symbols of
+Of a shard's pieces only the segments are sorted whose windows have a hash that other documents have too, equal segments once; that
+leaves out no repeat, as equal windows have equal hashes. They are sorted by external induced sorting (see suffixes). The anchor, which all its pieces hold, is one symbol there, and the tokens around it are symbols of
 12 bits, so windows that share a run of the suffix array are compared again by 32 bits a token. Windows of at least two documents are
 marked, and a document's marks merged. So the result is that of one suffix array over the whole corpus.
 
@@ -110,7 +111,7 @@ def _marks(pieces: pd.DataFrame, least: int, k: int, space: Space, small: int =
     """doc_id, row, s: windows (first token and end, packed) of open pieces that pieces of at least two documents, or a closed one, hold."""
     width = least - k + 1  # of a window, the anchor being one symbol
     none = pd.DataFrame({"doc_id": [], "row": [], "s": []})
-    n_left, d = pieces["n_left"].to_numpy(), pieces["d"].to_numpy()
+    n_left, d, opened = pieces["n_left"].to_numpy(), pieces["d"].to_numpy(), pieces["open"].to_numpy(bool)
     size = np.array([len(t) // 4 for t in pieces["tok"]]) + 1
     first = np.append(0, np.cumsum(size + 1))
     n = int(first[-1])
@@ -124,33 +125,72 @@ def _marks(pieces: pd.DataFrame, least: int, k: int, space: Space, small: int =
     text[mid] = 1
     full[mid] = C.mix(pieces["anchor"].to_numpy().view(np.uint64))
     window = C.gram_hashes(C.mix(full), width)
-    sa, lcp = suffix_array(text, 4096, space, small)
     owner = np.repeat(np.arange(len(size)), size + 1)
+    start = np.flatnonzero(first[owner + 1] - 1 - np.arange(n) >= width)
+    if not len(start):
+        return none
+    # a window whose hash is of one document alone can be no repeat; from its first to its last other window, a piece is a segment
+    order = np.argsort(window[start], kind="stable")
+    keep = np.zeros(len(start), bool)
+    keep[order] = _repeated(window[start][order], d[owner[start][order]], d[owner[start][order]], opened[owner[start][order]], opened[owner[start][order]])
+    start = start[keep]
+    if not len(start):
+        return none
+    who = owner[start]
+    b = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
+    e = np.append(b[1:], len(start)) - 1
+    piece, since, length = who[b], start[b], start[e] - start[b] + width
+    # two windows cover a segment. Equal ones are sorted once, for all their documents
+    _, one, of = np.unique(C.mix(C.mix(window[start[b]] + length.astype(np.uint64)) + window[start[e]]), return_index=True, return_inverse=True)
+    members = np.argsort(of, kind="stable")
+    at_group = np.searchsorted(of[members], np.arange(len(one) + 1))
+    low, high = (f.reduceat(d[piece[members]], at_group[:-1]) for f in (np.minimum, np.maximum))
+    all_open, any_open = (f.reduceat(opened[piece[members]], at_group[:-1]) for f in (np.minimum, np.maximum))
+    ends = np.append(0, np.cumsum(length[one] + 1))
+    group = np.repeat(np.arange(len(one)), length[one] + 1)
+    source = since[one][group] + np.arange(ends[-1]) - ends[group]
+    text = text[source]
+    text[ends[1:] - 1] = 0
+    sa, lcp = suffix_array(text, 4096, space, small)
     run = np.cumsum(np.asarray(lcp) < width)
     sa = np.asarray(sa)
-    ok = first[owner[sa] + 1] - 1 - sa >= width
+    ok = ends[group[sa] + 1] - 1 - sa >= width
     at, run = sa[ok], run[ok]
-    if not len(at):
-        return none
-    w = window[at]
-    new = np.append(True, (run[1:] != run[:-1]) | (w[1:] != w[:-1]))
-    if (np.append(0, np.diff(run)) == 0)[new].sum() > 1:  # a run of more than one kind of window: bring equal ones together
-        order = np.lexsort((w, run))
-        at, run, w = at[order], run[order], w[order]
-        new = np.append(True, (run[1:] != run[:-1]) | (w[1:] != w[:-1]))
-    begin = np.flatnonzero(new)
-    who = owner[at]
-    many = np.minimum.reduceat(d[who], begin) != np.maximum.reduceat(d[who], begin)
-    many |= ~np.minimum.reduceat(pieces["open"].to_numpy(bool)[who], begin)  # a closed piece stands for at least two documents
-    hit = at[np.repeat(many, np.diff(np.append(begin, len(at)))) & pieces["open"].to_numpy()[who]]
+    w = window[source[at]]
+    order = np.lexsort((w, run))  # a run can hold more than one kind of window: bring equal ones together
+    at, run, w = at[order], run[order], w[order]
+    g = group[at]
+    hit = at[_repeated(w, low[g], high[g], all_open[g], any_open[g], run) & any_open[g]]
     if not len(hit):
         return none
     hit.sort()
-    who = owner[hit]
-    start = pieces["pos"].to_numpy(np.int64)[who] - n_left[who] + hit - first[who]
-    b = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (np.diff(hit) > least)))  # windows of a piece that touch are one span
+    g = group[hit]
+    b = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (np.diff(hit) > least)))  # windows of a segment that touch are one span
     e = np.append(b[1:], len(hit)) - 1
-    return pd.DataFrame({"doc_id": pieces["doc_id"].to_numpy()[who[b]], "row": pieces["row"].to_numpy()[who[b]], "s": start[b] * (1 << 32) + start[e] + least})
+    # to all documents of each segment
+    g, lo, hi = g[b], hit[b] - ends[g[b]], hit[e] - ends[g[b]]
+    times = np.diff(at_group)[g]
+    span = np.repeat(np.arange(len(g)), times)
+    m = members[at_group[g][span] + np.arange(len(span)) - np.repeat(np.cumsum(times) - times, times)]
+    span, m = span[opened[piece[m]]], m[opened[piece[m]]]
+    who = piece[m]
+    begin = pieces["pos"].to_numpy(np.int64)[who] - n_left[who] + since[m] - first[who]
+    return pd.DataFrame({"doc_id": pieces["doc_id"].to_numpy()[who], "row": pieces["row"].to_numpy()[who], "s": (begin + lo[span]) * (1 << 32) + begin + hi[span] + least})
+
+
+def _repeated(w: np.ndarray, low: np.ndarray, high: np.ndarray, all_open: np.ndarray, any_open: np.ndarray, run: np.ndarray | None = None) -> np.ndarray:
+    """For windows in an order that brings equal ones (of one run, if given) together: whether at least two documents, or a closed piece, and an open one hold it.
+
+    low and high are the least and greatest document of each. A closed piece stands for at least two documents.
+    """
+    new = np.append(True, w[1:] != w[:-1])
+    if run is not None:
+        new[1:] |= run[1:] != run[:-1]
+    begin = np.flatnonzero(new)
+    many = np.minimum.reduceat(low, begin) != np.maximum.reduceat(high, begin)
+    many |= ~np.minimum.reduceat(all_open, begin)
+    many &= np.maximum.reduceat(any_open, begin)
+    return np.repeat(many, np.diff(np.append(begin, len(w))))
 
 
 def _scratch(spark: SparkSession) -> str | None:

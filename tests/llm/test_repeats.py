@@ -84,3 +84,24 @@ def test_odd_rows(spark, odd, none):
     got = {tuple(r) for r in R.repeated_spans(odd).collect()}
     assert got == {(5, 0, 30_000), (6, 0, 30_000)}
     assert R.repeated_spans(none).count() == 0
+
+
+def test_equal_segments_are_sorted_once(rng, monkeypatch):
+    """Pieces that share a passage in contexts of their own, and pieces that share their anchor alone: only the passage is sorted."""
+    least, k, far = 50, 25, 25
+    hashes = lambda n: rng.integers(0, 1 << 32, n, dtype=np.uint32)
+    passage, rows, want = hashes(30), [], set()
+    for d in range(400):
+        # 15 tokens before the anchor and 15 after it are shared: windows of 50 tokens from 10 to 15 before it
+        tok = np.concatenate([hashes(10), passage, hashes(10)]) if d < 300 else hashes(2 * far)
+        rows.append((7, 100 + d, far, d, d != 5, d, d, tok.tobytes()))
+        if d < 300 and d != 5:
+            want.add((d, (100 + d - 15) * (1 << 32) + 100 + d + k + 15))
+    pieces = R.pd.DataFrame(rows, columns=["anchor", "pos", "n_left", "d", "open", "doc_id", "row", "tok"])
+    sizes, suffix_array = [], R.suffix_array
+    monkeypatch.setattr(R, "suffix_array", lambda text, *more: sizes.append(len(text)) or suffix_array(text, *more))
+    for small in (16, R.SMALL):
+        got = R._marks(pieces, least, k, S.Space(), small)
+        assert set(zip(got["doc_id"].tolist(), got["s"].tolist())) == want and len(got) == len(want)
+    assert sizes == [32, 32]
+    assert not len(R._marks(pieces[300:].reset_index(drop=True), least, k, S.Space()))
