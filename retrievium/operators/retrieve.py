@@ -1,8 +1,9 @@
 """Retrieval: exact nearest neighbours, BM25 and lexical overlap.
 
 Nearest neighbours: a query side of at most `broadcast_rows` rows goes to the executors as one matrix, and each partition of the corpus keeps
-its k best for each query, so the corpus is never shuffled and k rows a query and partition are. A larger query side is cut in blocks that meet
-blocks of the corpus, in tasks of a fixed size. BM25 and lexical overlap join on tokens, never on pairs of documents.
+its k best for each query, so the corpus is never shuffled and k rows a query and partition are. A larger query side is cut in blocks; a task holds
+one of them and lets the corpus pass by, so what it holds doesn't grow with the corpus and k rows a query come out. Every pair is compared, in
+single precision first: only those that its error bound can't rule out are computed in double. BM25 and lexical overlap join on tokens, never on pairs of documents.
 """
 
 from __future__ import annotations
@@ -10,83 +11,209 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import ship
 
 BROADCAST_QUERIES = 20_000
 BROADCAST_TOKENS = 200_000  # some 50 bytes each
-ROW_BLOCK, QUERY_BLOCK = 65_536, 8_192
-HITS = "query_id long, doc_id long, score double"
-
-
-def _kernel(k: int, metric: str):
-    """(query ids, query matrix) to a function over batches of (ids, matrix) that keeps the k best; least first for l2, else greatest first."""
-    sign = 1.0 if metric == "l2" else -1.0
-
-    def best(qid: np.ndarray, q: np.ndarray, batches: Iterator[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
-        n = len(qid)
-        top_s, top_i = np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max)
-        q2, ql = (q * q).sum(1), np.sqrt((q * q).sum(1))
-        for ids, x in batches:
-            for a in range(0, len(ids), 2048):
-                i, v = ids[a : a + 2048], x[a : a + 2048]
-                s = q @ v.T
-                if metric == "l2":
-                    s = q2[:, None] + (v * v).sum(1) - 2 * s
-                elif metric == "cosine":
-                    size = ql[:, None] * np.sqrt((v * v).sum(1))
-                    s = np.where(size > 0, s / np.where(size > 0, size, 1), 0.0)
-                s = sign * (np.round(s, 6) + 0.0)
-                if s.shape[1] > 4 * k:  # what is worse than the k-th best of this block can't be in the result
-                    bar = np.partition(s, k - 1, axis=1)[:, k - 1 : k]
-                    keep = (s <= bar).any(0)
-                    s, i = s[:, keep], i[keep]
-                s, i = np.concatenate([top_s, s], 1), np.concatenate([top_i, np.broadcast_to(i, (n, len(i)))], 1)
-                order = np.lexsort((i, s), axis=1)[:, :k]
-                top_s, top_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        ok = np.isfinite(top_s)
-        return pd.DataFrame({"query_id": np.repeat(qid, ok.sum(1)), "doc_id": top_i[ok], "score": sign * top_s[ok] + 0.0})
-
-    return best
-
-
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2", broadcast_rows: int = BROADCAST_QUERIES, row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, doc_id, score, rank: the k nearest of corpus (doc_id, vector) to each of queries (query_id, vector).
+ROW_BLOCK, QUERY_BLOCK = 1_024, 65_536
+QUERY_TASKS, LEAST_QUERIES = 24, 1_024  # so many tasks if each has so many queries
+HITS = "query_id long, doc_id long, score double, rank long"
+HALF_UNIT = 5e-7  # of scores, which have 6 digits
+
+
+def _matrix(x: pa.Array) -> np.ndarray:
+    """Lists of one length as a matrix; a null in them is NaN."""
+    if not len(x):
+        return np.zeros((0, 0))
+    size = pc.min_max(pc.list_value_length(x)).as_py()
+    if size["min"] != size["max"]:
+        raise ValueError("vectors of different dimensions")
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), size["max"])
+
+
+class _Best:
+    """The k best rows for each query of those that were added, by (score, id); least score first for l2, else greatest. With other, a query's own id is left out.
+
+    Products are taken in single precision. What exceeds a query's k-th score by more than the error of such a product and the rounding of scores
+    isn't among its k best; the rest is computed in double. Where that would be much (vectors far from 0, or many ties), the whole block is.
+    """
+
+    def __init__(self, qid: np.ndarray, q: np.ndarray, k: int, metric: str, other: bool, row_block: int):
+        self.k, self.metric, self.other, self.row_block = k, metric, other, row_block
+        self.sign, self.center = 1.0 if metric == "l2" else -1.0, 0.0
+        self.qid, self.q, self.q2 = self._usable(qid, q)
+        if metric == "l2" and len(self.q):  # distances stay the same, and their products small
+            self.center = self.q.mean(0)
+        self.qid, self.q, self.q2 = self._usable(qid, q)
+        self.wide = self._wide(self.q, -2.0 if metric == "l2" else -1.0)
+        with np.errstate(over="ignore"):
+            self.narrow = self.wide.astype(np.float32)
+        self.longest = np.sqrt(self.q2.max(initial=0.0))
+        self.row, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)  # the best so far, by row of q
+        self.kth, self.kth_id = np.full(len(self.qid), np.inf), np.full(len(self.qid), np.iinfo(np.int64).max)
+        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def _usable(self, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, vectors in double, of length 1 for cosine, and their squared norms, of those that have a finite one."""
+        with np.errstate(all="ignore"):
+            x = x.astype(np.float64) - self.center
+            n = np.einsum("ij,ij->i", x, x)
+            if self.metric == "cosine":
+                x = np.where(n[:, None] > 0, x / np.where(n > 0, np.sqrt(n), 1)[:, None], 0 * x)
+                n = np.where(np.isfinite(n), np.minimum(n, 1.0), n)
+        ok = np.isfinite(n)
+        return ids[ok], x[ok], n[ok]
+
+    def _wide(self, x: np.ndarray, by: float) -> np.ndarray:
+        return np.concatenate([x * by, np.ones((len(x), 1))], 1) if self.metric == "l2" else x * by
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        ids, x, x2 = self._usable(ids, x)
+        for a in range(0, len(ids), self.row_block):
+            part = slice(a, a + self.row_block)
+            self._add(ids[part], x[part], x2[part])
+
+    def _add(self, ids: np.ndarray, x: np.ndarray, x2: np.ndarray) -> None:
+        k, l2 = self.k, self.metric == "l2"
+        wide = np.ascontiguousarray((np.concatenate([x, x2[:, None]], 1) if l2 else x).T)
+        with np.errstate(over="ignore"):
+            narrow = wide.astype(np.float32)
+        longest = np.sqrt(x2.max())
+        fits = max(self.longest, longest) < 1e18  # else products may be too large for single precision
+        order = np.argsort(ids, kind="stable")
+        for a in range(0, len(self.qid), 1024):
+            part = slice(a, a + 1024)
+            size = 2 * np.sqrt(self.q2[part]) * longest + (longest**2 if l2 else 0.0)
+            zero = self.q2[part] if l2 else 0.0  # what the products lack of the score
+            with np.errstate(all="ignore"):
+                error = (len(wide) + 8) * 2.0**-24 * size + 2 * HALF_UNIT
+                s = self.narrow[part] @ narrow
+                bar = self.kth[part] - zero + error
+                if len(ids) > k and not np.isfinite(bar).all():  # the k-th of this block alone is a bar too
+                    own = np.where(np.isnan(s), np.float32(np.inf), s)
+                    if self.other:
+                        self._blank(own, part, ids, order)
+                    bar = np.fmin(bar, np.partition(own, k - 1, axis=1)[:, k - 1] + 2 * error)
+                bar = np.where(np.isnan(bar), np.inf, bar)
+                hit = s <= np.nextafter(bar.astype(np.float32), np.float32(np.inf))[:, None]
+                found = np.flatnonzero(hit)
+                if len(found) > 2 * k * len(s) and len(found) > s.size // 16 or not fits:
+                    self._add_wide(part, ids, wide, order)
+                    continue
+                i, j = np.divmod(found, s.shape[1])
+                for b in range(0, len(i), 65_536):
+                    self._take(a + i[b : b + 65_536], ids[j[b : b + 65_536]], self._scores(a + i[b : b + 65_536], x, j[b : b + 65_536]))
+        if sum(len(n[0]) for n in self.new) > 2 * k * len(self.qid) or not np.isfinite(self.kth).all():
+            self._settle()
+
+    def _blank(self, s: np.ndarray, part: slice, ids: np.ndarray, order: np.ndarray) -> None:
+        """Infinity where a row has the query's id."""
+        at, end = (np.searchsorted(ids[order], self.qid[part], side) for side in ("left", "right"))
+        while len(r := np.flatnonzero(at < end)):
+            s[r, order[at[r]]] = np.inf
+            at = at + 1
+
+    def _scores(self, i: np.ndarray, x: np.ndarray, j: np.ndarray) -> np.ndarray:
+        a, b = self.q[i], x[j]
+        if self.metric == "l2":
+            a -= b
+            return np.einsum("ij,ij->i", a, a)
+        return -np.einsum("ij,ij->i", a, b)
+
+    def _add_wide(self, part: slice, ids: np.ndarray, wide: np.ndarray, order: np.ndarray) -> None:
+        """A block in double."""
+        s = self.wide[part] @ wide
+        if self.metric == "l2":
+            s = np.maximum(s + self.q2[part][:, None], 0.0)
+        s = np.round(s, 6) + 0.0
+        s[np.isnan(s)] = np.inf
+        if self.other:
+            self._blank(s, part, ids, order)
+        kth, kth_id = self.kth[part, None], self.kth_id[part, None]
+        r, c = np.nonzero((s < kth) | (s == kth) & (ids < kth_id))
+        if len(r) > 2 * self.k * len(s):  # the k best of the block are enough
+            best = order[np.argsort(s[:, order], axis=1, kind="stable")[:, : self.k]]
+            r, c = np.repeat(np.arange(len(s)), best.shape[1]), best.ravel()
+        self._take(part.start + r, ids[c], s[r, c])
+
+    def _take(self, i: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        """Keep what comes before the k-th so far."""
+        score = np.round(score, 6) + 0.0
+        ok = np.isfinite(score) & ((score < self.kth[i]) | (score == self.kth[i]) & (ids < self.kth_id[i]))
+        if self.other:
+            ok &= ids != self.qid[i]
+        self.new.append((i[ok], ids[ok], score[ok]))
+
+    def _settle(self) -> None:
+        row, ids, score = (np.concatenate([old, *(n[c] for n in self.new)]) for c, old in enumerate((self.row, self.id, self.score)))
+        self.new = []
+        order = np.lexsort((ids, score, row))
+        row, ids, score = row[order], ids[order], score[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = place < self.k
+        last = place == self.k - 1
+        self.kth[row[last]], self.kth_id[row[last]] = score[last], ids[last]
+        self.row, self.id, self.score = row[keep], ids[keep], score[keep]
+
+    def result(self) -> pa.RecordBatch:
+        self._settle()
+        place = np.arange(len(self.row)) - np.searchsorted(self.row, self.row) + 1
+        return pa.RecordBatch.from_arrays([pa.array(self.qid[self.row]), pa.array(self.id), pa.array(self.sign * self.score + 0.0), pa.array(place)], ["query_id", "doc_id", "score", "rank"])
+
+
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2", broadcast_rows: int = BROADCAST_QUERIES, row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK, other: bool = False) -> DataFrame:
+    """query_id, doc_id, score, rank: the k nearest of corpus (doc_id, vector) to each of queries (query_id, vector); with other, of those that don't have its id.
 
     metric: l2 (squared, ascending), ip or cosine (descending). Scores are rounded to 6 digits, ties go to the least doc_id.
-    Rows with null ids or empty vectors are left out; a dimension must be the same throughout.
+    Rows with null ids, empty vectors or values that aren't finite are left out; a dimension must be the same throughout.
     """
     if metric not in ("l2", "ip", "cosine"):
         raise ValueError(f"no such metric: {metric}")
-    best = _kernel(k, metric)
-    usable = lambda df, i: df.where(F.col(i).isNotNull() & (F.size("vector") > 0)).select(F.col(i).cast("long").alias(i), F.col("vector").cast("array<double>").alias("vector"))
+    single = all(df.schema["vector"].dataType.simpleString() == "array<float>" for df in (queries, corpus))
+    usable = lambda df, i: df.where(F.col(i).isNotNull() & (F.size("vector") > 0)).select(F.col(i).cast("long").alias(i), F.col("vector").cast("array<float>" if single else "array<double>").alias("vector"))
     queries, corpus = usable(queries, "query_id"), usable(corpus, "doc_id")
-    few = queries.limit(broadcast_rows + 1).toPandas()
-    if len(few) <= broadcast_rows:
-        qid = few["query_id"].to_numpy(np.int64)
-        q = np.stack(few["vector"].to_numpy()) if len(few) else np.zeros((0, 0))
+    ship(queries.sparkSession)
+    n = queries.count()
+    if n <= broadcast_rows:
+        few = queries.toArrow().combine_chunks()
+        qid, q = few["query_id"].to_numpy(), _matrix(few["vector"].combine_chunks())
 
-        def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(qid):
-                yield best(qid, q, ((p["doc_id"].to_numpy(), np.stack(p["vector"].to_numpy())) for p in parts if len(p)))
-
-        found = corpus.mapInPandas(scan, HITS)
-    else:
-        nq, nr = -(-queries.count() // query_block), max(1, -(-corpus.count() // row_block))
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("qb"), every(nr).alias("rb"), "query_id", "vector")
-        right = corpus.select(every(nq).alias("qb"), F.pmod(F.xxhash64("doc_id"), F.lit(nr)).cast("int").alias("rb"), "doc_id", "vector")
-
-        def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
-            return best(a["query_id"].to_numpy(), np.stack(a["vector"].to_numpy()), iter([(b["doc_id"].to_numpy(), np.stack(b["vector"].to_numpy()))]))
-
-        found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(tile, HITS)
-    return ranked(found, k, F.col("score").asc() if metric == "l2" else F.col("score").desc(), "doc_id")
+                best = _Best(qid, q, k, metric, other, row_block)
+                for p in parts:
+                    if len(p):
+                        best.add(p["doc_id"].to_numpy(), _matrix(p["vector"]))
+                yield best.result()
+
+        found = corpus.mapInArrow(scan, HITS).drop("rank")
+        return ranked(found, k, F.col("score").asc() if metric == "l2" else F.col("score").desc(), "doc_id")
+    blocks = max(-(-n // query_block), min(QUERY_TASKS, -(-n // LEAST_QUERIES)))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
+    left = queries.select(block.alias("block"), F.lit(False).alias("row"), F.col("query_id").alias("id"), "vector")
+    right = corpus.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("row"), F.col("doc_id").alias("id"), "vector")
+
+    def meet(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, best = [], None
+        for p in parts:
+            cut = pc.sum(pc.invert(p["row"])).as_py() or 0  # queries come first
+            if cut:
+                own.append(p.slice(0, cut))
+            if cut < len(p) and own:
+                if best is None:
+                    best = _Best(np.concatenate([o["id"].to_numpy() for o in own]), np.concatenate([_matrix(o["vector"]) for o in own]), k, metric, other, row_block)
+                rows = p.slice(cut)
+                best.add(rows["id"].to_numpy(), _matrix(rows["vector"]))
+        if best is not None:
+            yield best.result()
+
+    return left.unionByName(right).repartitionById(blocks, "block").sortWithinPartitions("row").select("row", "id", "vector").mapInArrow(meet, HITS)
 
 
 def ranked(hits: DataFrame, k: int, *order: Column | str, by: str = "query_id") -> DataFrame:

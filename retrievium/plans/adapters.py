@@ -40,9 +40,7 @@ def vectors(spark: SparkSession, d: str, id_name: str, part: slice | None = None
 
 def neighbours(spark: SparkSession, d: str, k: int, metric: str = "l2", part: slice | None = None) -> DataFrame:
     """Each vector as a query against all others: query_id, doc_id, score, rank."""
-    hits = retrieve.nearest(vectors(spark, d, "query_id", part), vectors(spark, d, "doc_id", part), k + 1, metric)
-    order = F.col("score").asc() if metric == "l2" else F.col("score").desc()
-    return retrieve.ranked(hits.where("query_id <> doc_id").drop("rank"), k, order, "doc_id")
+    return retrieve.nearest(vectors(spark, d, "query_id", part), vectors(spark, d, "doc_id", part), k, metric, other=True)
 
 
 def marked(spark: SparkSession, d: str, k: int = 10, part: slice | None = None) -> DataFrame:

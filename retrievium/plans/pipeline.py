@@ -50,9 +50,7 @@ def run(spark: SparkSession, vectors: DataFrame, qrels: DataFrame, out: str, con
             done[step] = spark.read.parquet(f"{out}/{step}")
 
     def neighbours() -> DataFrame:
-        hits = retrieve.nearest(vectors.withColumnRenamed("doc_id", "query_id"), vectors, config.top + 1, config.metric)
-        order = F.col("score").asc() if config.metric == "l2" else F.col("score").desc()
-        return retrieve.ranked(hits.where("query_id <> doc_id").drop("rank"), config.top, order, "doc_id")
+        return retrieve.nearest(vectors.withColumnRenamed("doc_id", "query_id"), vectors, config.top, config.metric, other=True)
 
     def loss() -> DataFrame:
         t = done["mine"]

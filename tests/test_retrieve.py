@@ -63,3 +63,46 @@ def test_records(spark):
     assert got[0].query == "cum se prepară ciorba de burta?" and got[0].passages.is_selected == [1, 0, 0]
     assert got[0].answers == ["Se fierbe burta."] and got[1].wellFormedAnswers == ["Ciorba buna de fasole."]
     assert got[2].query == "ce este acest document?" and got[2].answers == []
+
+
+def _by_force(qid, q, ids, x, k, metric, other):
+    want = set()
+    for a, v in zip(qid, q.astype(float)):
+        s = ((x - v) ** 2).sum(1) if metric == "l2" else -(x @ v) if metric == "ip" else -(x @ v) / np.maximum(np.linalg.norm(x, axis=1) * np.linalg.norm(v), 1e-300)
+        s = np.round(s, 6) + 0.0
+        want |= {(int(a), r + 1, int(ids[j])) for r, j in enumerate([j for j in np.lexsort((ids, s)) if not (other and ids[j] == a)][:k])}
+    return want
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip", "cosine"])
+@pytest.mark.parametrize("kind", ["plain", "far", "ties", "same", "large"])
+def test_single_precision_loses_no_neighbour(metric, kind):
+    rng = np.random.default_rng(2)
+    ids = rng.permutation(5000)[:900]
+    x = rng.normal(size=(900, 8))
+    x = {"plain": x, "far": x * 0.01 + 1000, "ties": np.round(x), "same": np.ones((900, 8)), "large": x * 1e25}[kind]
+    for other in (False, True):
+        best = retrieve._Best(ids[:200], x[:200], 7, metric, other, 128)
+        for a in range(0, 900, 250):
+            best.add(ids[a : a + 250], x[a : a + 250])
+        got = best.result().to_pylist()
+        assert {(r["query_id"], r["rank"], r["doc_id"]) for r in got} == _by_force(ids[:200], x[:200], ids, x, 7, metric, other)
+
+
+def test_few_pairs_are_computed_in_double(monkeypatch):
+    """Of 2,000 x 4,000 pairs; all of them were ranked once."""
+    n = []
+    own = retrieve._Best._scores
+    monkeypatch.setattr(retrieve._Best, "_scores", lambda self, i, x, j: n.append(len(i)) or own(self, i, x, j))
+    x = np.random.default_rng(4).normal(size=(4000, 16)).astype(np.float32)
+    best = retrieve._Best(np.arange(2000), x[:2000], 5, "l2", True, 512)
+    best.add(np.arange(4000), x)
+    assert len(best.result()) == 10_000 and sum(n) < 2000 * 4000 // 50
+
+
+def test_large_query_side_comes_ranked_out_of_its_tasks(spark):
+    """No window over the hits, as many tasks as blocks of queries, own ids left out."""
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(60)], V)
+    hits = retrieve.nearest(df, df.withColumnRenamed("query_id", "doc_id"), 3, "l2", broadcast_rows=5, query_block=20, other=True)
+    assert "Window" not in hits._jdf.queryExecution().toString() and hits.rdd.getNumPartitions() == 3
+    assert all(r.query_id != r.doc_id and r.score == 0 and r.doc_id % 7 == r.query_id % 7 for r in hits.collect()) and hits.count() == 180
