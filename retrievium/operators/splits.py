@@ -18,7 +18,7 @@ def _bounds(df: DataFrame, key: str, parts: int, each: int = 64) -> list:
     if parts < 2 or not n:
         return []
     few = keys if n <= parts * each else keys.sample(parts * each / n, seed=1)
-    own = [r["k"] for r in few.coalesce(1).sortWithinPartitions("k").collect()]
+    own = [r["k"] for r in few.repartition(1).sortWithinPartitions("k").collect()]  # coalesce(1) would have one task read the whole table
     return [own[len(own) * i // parts] for i in range(1, parts)] if len(own) >= parts else own
 
 

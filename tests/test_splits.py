@@ -1,5 +1,8 @@
 """Positions, which must be dense and unique on tables that no sampler sees whole, with further columns, too."""
 
+import uuid
+
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from retrievium.operators import splits
@@ -48,3 +51,20 @@ def test_ranges_are_found_by_binary_search(spark):
         df = spark.range(0, 10 * n + 20)
         got = [r.p for r in df.select("id", splits.range_of(F.col("id"), bounds, df.schema["id"].dataType).alias("p")).orderBy("id").collect()]
         assert got == [min(i // 10, n) for i in range(10 * n + 20)]
+
+
+def test_no_task_of_positions_reads_the_whole_table(spark, tmp_path):
+    def noted(parts):
+        n = 0
+        for p in parts:
+            n += len(p)
+            yield p
+        (tmp_path / uuid.uuid4().hex).write_text(f"{TaskContext.get().taskAttemptId()} {n}")
+
+    df = spark.range(0, 8000, 1, 8).mapInPandas(noted, "id long")
+    got = splits.dense_positions(df, "id").select(F.max("pos"), F.count("*")).first()
+    by_task = {}
+    for p in tmp_path.iterdir():
+        task, n = map(int, p.read_text().split())
+        by_task[task] = by_task.get(task, 0) + n
+    assert tuple(got) == (7999, 8000) and max(by_task.values()) == 1000
