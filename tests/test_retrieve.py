@@ -106,3 +106,27 @@ def test_large_query_side_comes_ranked_out_of_its_tasks(spark):
     hits = retrieve.nearest(df, df.withColumnRenamed("query_id", "doc_id"), 3, "l2", broadcast_rows=5, query_block=20, other=True)
     assert "Window" not in hits._jdf.queryExecution().toString() and hits.rdd.getNumPartitions() == 3
     assert all(r.query_id != r.doc_id and r.score == 0 and r.doc_id % 7 == r.query_id % 7 for r in hits.collect()) and hits.count() == 180
+
+
+def test_bm25_of_many_queries_equals_that_of_few(spark):
+    """In small blocks, with odd rows: repeated tokens, none, unknown ones, tokens of all documents, an own document that isn't there. No row for each pair that shares a token."""
+    rng = np.random.default_rng(5)
+    words = [f"w{int(x)}" for x in np.minimum(rng.pareto(0.7, 4000) * 2, 300)]
+    docs = [(i * 3, " ".join(words[i * 19 : i * 19 + int(rng.integers(0, 40))] + ["all"] * (i % 3))) for i in range(150)]
+    d = spark.createDataFrame([*docs, (1, None), (2, "")], "doc_id long, body string").repartition(3)
+    q = spark.createDataFrame([(i, t + " new all all", i if i % 2 else None) for i, t in docs] + [(1001, "", 0), (1002, "nowhere", 7), (1003, None, None)], "query_id long, query string, own long")
+    for exclude in (None, "own"):
+        want = retrieve.top_with_fill(retrieve.bm25_scores(q, d), q, d, 5, exclude)
+        got = retrieve.bm25_top(q, d, 5, exclude, postings_block=300, query_block=20, groups=2)
+        key = lambda df: sorted((r.query_id, r.rank, r.doc_id, r.score) for r in df.collect())
+        assert key(got) == key(want)
+        plan = got._jdf.queryExecution().toString()
+        assert "CartesianProduct" in plan and "sum((((cast(times" not in plan
+
+
+def test_records_without_texts(spark):
+    docs = spark.createDataFrame([(0, "Ciorba de burta", "Se fierbe burta. Apoi se drege.", "recipes-ro"), (1, "", "ciorba buna de fasole", "x"), (2, None, None, "news")], "doc_id long, title string, body string, source string")
+    whole, bare = ({r.query_id: r for r in marco.records(docs, marco.queries(docs), 3, texts=t).collect()} for t in (True, False))
+    for i in whole:
+        assert bare[i].passage_ids == whole[i].passage_ids and bare[i].answers == whole[i].answers and bare[i].wellFormedAnswers == whole[i].wellFormedAnswers and bare[i].passages.is_selected == whole[i].passages.is_selected
+    assert len(bare) == 3
