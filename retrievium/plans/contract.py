@@ -120,18 +120,29 @@ def triplet_loss_mean(s: SparkSession, d: str) -> DataFrame:
     return triplet_margin_loss(s, d).agg(r6(F.avg("loss")).alias("mean_loss"), F.count("*").alias("n"))
 
 
-def _gated(s: SparkSession, d: str) -> DataFrame:
-    t = A.with_vectors(s, d, A.mined(s, d))
+def _gated(s: SparkSession, d: str, difference: bool = False) -> DataFrame:
+    """Gated triplets; with overlap_difference only where it is asked for, as it takes the tokens of all negatives."""
+    # what a query has with its positive is computed once, not for each negative, and nothing but numbers is carried on
+    g = A.mined(s, d).groupBy("query_id", "positive_doc_id").agg(F.collect_list(F.struct("negative_doc_id", "difficulty")).alias("negatives"))
     # each document's tokens and bigrams are hashed to 64 bits once, and pairs are scored on those
-    sets = T.let(T.ws_tokens("body"), lambda w: F.struct(T.hashed_ngrams(w, 2).alias("g"), T.hashed_ngrams(w, 1).alias("w")))
+    hashed = {"g": 2} | ({"w": 1} if difference else {})
+    sets = T.let(T.ws_tokens("body"), lambda w: F.struct(*[T.hashed_ngrams(w, n).alias(c) for c, n in hashed.items()]))
     body = A.bodies(s, d).join(A.table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", sets.alias("x"))
-    for i, c in (("query_id", "qt"), ("positive_doc_id", "pt"), ("negative_doc_id", "nt")):
-        t = t.join(body.select(F.col("doc_id").alias(i), F.col("x").alias(c)), i, "left")
     none = F.array().cast("array<bigint>")
-    g = lambda c, k: F.coalesce(F.col(f"{c}.{k}"), none)
-    m = t.withColumn("ngram_overlap", r6(T.jaccard(g("qt", "g"), g("pt", "g")))).withColumn("diversity_score", r6(1 - V.cosine(F.col("p"), F.col("n")))).withColumn("entailment_score", r6(V.cosine(F.col("a"), F.col("p"))))
-    m = m.withColumn("overlap_difference", r6(T.jaccard(g("qt", "w"), g("pt", "w")) - T.jaccard(g("qt", "w"), g("nt", "w")))).drop("qt", "pt", "nt", "a", "p", "n")
-    return triplets.gate(m, overlap=0.05, diversity=0.3, entailment=0.3)
+    of = lambda c, k: F.coalesce(F.col(f"{c}.{k}"), none)
+    for i, c in (("query_id", "qt"), ("positive_doc_id", "pt")):
+        g = g.join(body.select(F.col("doc_id").alias(i), F.col("x").alias(c)), i, "left")
+    more = [T.jaccard(of("qt", "w"), of("pt", "w")).alias("own"), of("qt", "w").alias("qw")] if difference else []
+    g = g.select("query_id", "positive_doc_id", "negatives", r6(T.jaccard(of("qt", "g"), of("pt", "g"))).alias("ngram_overlap"), *more)
+    for i, c in (("query_id", "a"), ("positive_doc_id", "p")):
+        g = g.join(A.vectors(s, d, i).withColumnRenamed("vector", c), i)
+    g = g.withColumn("entailment_score", r6(V.cosine(F.col("a"), F.col("p")))).drop("a")
+    t = g.select("*", F.inline("negatives")).drop("negatives").join(A.vectors(s, d, "negative_doc_id").withColumnRenamed("vector", "n"), "negative_doc_id")
+    t = t.withColumn("diversity_score", r6(1 - V.cosine(F.col("p"), F.col("n")))).drop("p", "n")
+    if difference:
+        t = t.join(body.select(F.col("doc_id").alias("negative_doc_id"), F.col("x.w").alias("nw")), "negative_doc_id", "left")
+        t = t.withColumn("overlap_difference", r6(F.col("own") - T.jaccard(F.col("qw"), F.coalesce("nw", none)))).drop("own", "qw", "nw")
+    return triplets.gate(t, overlap=0.05, diversity=0.3, entailment=0.3)
 
 
 @query
@@ -157,7 +168,7 @@ def quality_gate_distribution(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def triplet_quality_report(s: SparkSession, d: str) -> DataFrame:
-    return triplets.quality_report(_gated(s, d).select("overlap_difference", "difficulty"), ["overlap_difference", "difficulty"])
+    return triplets.quality_report(_gated(s, d, difference=True).select("overlap_difference", "difficulty"), ["overlap_difference", "difficulty"])
 
 
 @query

@@ -36,3 +36,9 @@ def test_equals_sql(spark, con, name):
 
 def test_every_query_has_sql():
     assert set(contract.QUERIES) == set(contract.SQL)
+
+
+def test_gates_carry_no_texts_of_negatives(spark):
+    """Documents are joined to queries and positives, before the negatives are listed; the report on their overlap alone needs their tokens."""
+    scans = lambda name: contract.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("xxhash64")
+    assert scans("quality_gate_summary") == scans("quality_gate_distribution") == 2 < scans("triplet_quality_report")
